@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .chunk_dedup import remove_chunks
 from .decontaminate import decontaminate
+from .html_text import extract
 from .minhash import near_duplicates
 from .mixing import mix
+from .pii import find_pii
+from .quality import judge
+from .secrets import scan
 from .suffix_dedup import remove_repeats
+from .toxicity import score
 
 
 def table(spark, sf_dir: str, name: str):
@@ -33,5 +40,30 @@ def op10_chunk_dedup(spark, sf_dir):
     return remove_chunks(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_suffix_dedup, op7_mixing, op9_minhash, op10_chunk_dedup)}
+def op2_html_text(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op3_pii(spark, sf_dir):
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op4_secrets(spark, sf_dir):
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("secrets", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_findings", "n_secrets", spans.alias("secrets"), F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256"))
+
+
+def op6_toxicity(spark, sf_dir):
+    return score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_quality(spark, sf_dir):
+    return judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontaminate, op2_html_text, op3_pii, op4_secrets, op5_suffix_dedup, op6_toxicity, op7_mixing, op8_quality, op9_minhash, op10_chunk_dedup)
+}
 ORACLES: dict[str, str] = {}
