@@ -15,7 +15,9 @@ class Monitor:
 
     def __init__(self, formula: str | ast.Formula, negate: bool = False, collapse: bool = False, strip_brackets: bool = True):
         f = read(formula, strip_brackets) if isinstance(formula, str) else formula
-        self.formula = push_negation(ast.Not(f)) if negate else f
+        if negate:
+            f = ast.Not(f) if bounded(ast.Not(f)) else push_negation(ast.Not(f))
+        self.formula = f
         self.collapse = collapse
 
     @property
