@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_chunks, prefix_hashes, span_hashes, words
+from .common import LOWER, Scratch, byte_chunks, prefix_hashes, span_hashes, words
 
 #: Interchangeable names of groups.
 IDENTITY = (
@@ -80,35 +80,23 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def train(found: list[tuple[int, np.ndarray]], n_features: int = 6000, swap_penalty: float = 1.0, l2: float = 1e-4, steps: int = 250) -> Model:
-    """Fit on (label, distinct feature hashes) of the sample."""
-    y = np.array([float(t) for t, _ in found])
-    if not len(y) or y.min() == y.max():
-        rate = (y.sum() + 0.5) / (len(y) + 1)
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(rate / (1 - rate))) if len(y) else -5.0)
-    flat = np.concatenate([f for _, f in found])
-    row = np.repeat(np.arange(len(found)), [len(f) for _, f in found])
-    vocabulary, code = np.unique(flat, return_inverse=True)
-    n1, n0 = np.bincount(code, y[row], len(vocabulary)), np.bincount(code, 1 - y[row], len(vocabulary))
-    # likelihood ratios; what may as well be chance (p > 0.001) is left out
-    share = y.mean()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = 2 * (np.nan_to_num(n1 * np.log(n1 / ((n1 + n0) * share))) + np.nan_to_num(n0 * np.log(n0 / ((n1 + n0) * (1 - share)))))
-    gain[gain < 10.83] = 0
-    groups = [[word_features(t) for t in g.split()] for g in IDENTITY]
-    names = np.isin(vocabulary, np.concatenate([f for g in groups for f in g]))
-    gain[names] = np.inf
-    keep = np.sort(np.argsort(-gain, kind="stable")[:n_features])
-    keep = keep[gain[keep] > 0]
-    new = np.full(len(vocabulary), -1)
-    new[keep] = np.arange(len(keep))
-    use = new[code] >= 0
-    row, code, keys = row[use], new[code[use]], vocabulary[keep]
+def identity_features() -> list[list[np.ndarray]]:
+    return [[word_features(t) for t in g.split()] for g in IDENTITY]
+
+
+def constant(positive: int, total: int) -> Model:
+    """The model of a sample with one class only."""
+    rate = (positive + 0.5) / (total + 1)
+    return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(rate / (1 - rate))) if total else -5.0)
+
+
+def train(y: np.ndarray, row: np.ndarray, code: np.ndarray, keys: np.ndarray, swap_penalty: float = 1.0, l2: float = 1e-4, steps: int = 250) -> Model:
+    """Fit on labels y and the (row, code) pairs of features present; keys are the sorted feature hashes that codes index."""
     # score changes of swaps: one row for each ordered pair of names, by how many labelled texts hold the first
     index = {int(k): i for i, k in enumerate(keys)}
     seen = np.bincount(code, minlength=len(keys))
     swaps = []
-    for g in groups:
+    for g in identity_features():
         for a in g:
             n = seen[index[int(a[0])]] if int(a[0]) in index else 0
             for b in g:
@@ -137,24 +125,56 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **params) -> Model:
-    """Train on at most ``sample`` labelled documents, the first by a hash of doc_id; held-out ones never."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, n_features: int = 6000, **params) -> Model:
+    """Train on at most ``sample`` labelled documents, the first by a hash of doc_id; held-out ones never.
+
+    Features are counted and chosen in Spark; the driver gets the chosen ones and their numbers in each document.
+    """
+    scratch = Scratch(docs.sparkSession)
     ids = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it is sent to all executors
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text")
 
-    def run(batches):
+    def present(batches):
         for b in batches:
-            out: list[bytes] = []
+            out: list[np.ndarray] = []
             for _, offsets, data in byte_chunks(b.column(1)):
                 row, f = features(LOWER[data], offsets)
-                order = np.argsort(row, kind="stable")
-                f = f[order]
-                cut = np.searchsorted(row[order], np.arange(len(offsets)))
-                out += [np.unique(f[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array(out, pa.binary())], ["toxic", "f"])
-
-    return train([(r["toxic"], np.frombuffer(r["f"], np.uint64)) for r in rows.mapInArrow(run, "toxic int, f binary").toLocalIterator()], **params)
+                f = f[np.argsort(row, kind="stable")]
+                cut = np.searchsorted(np.sort(row), np.arange(len(offsets)))
+                out += [np.unique(f[i:j]).view(np.int64) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array(out, pa.list_(pa.int64()))], ["toxic", "f"])
+
+    seen = scratch.save(rows.mapInArrow(present, "toxic int, f array<long>"))
+    total, positive = seen.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < positive < total:
+        return constant(positive, total)
+    share = positive / total
+    counts = seen.select("toxic", F.explode("f").alias("f")).groupBy("f").agg(F.sum("toxic").cast("double").alias("n1"), F.count("*").cast("double").alias("n"))
+    # likelihood ratios; what may as well be chance (p > 0.001) is left out
+    part = lambda n, q: F.when(n > 0, n * F.log(n / (F.col("n") * q))).otherwise(0.0)
+    counts = counts.withColumn("gain", 2 * (part(F.col("n1"), share) + part(F.col("n") - F.col("n1"), 1 - share)))
+    names = sorted({int(x) for g in identity_features() for f in g for x in f.view(np.int64)})
+    kept = counts.where((F.col("gain") >= 10.83) & ~F.col("f").isin(names)).orderBy(F.desc("gain"), "f").limit(n_features).select("f")
+    chosen = [r["f"] for r in kept.unionByName(counts.where(F.col("f").isin(names)).select("f")).collect()]
+    keys = np.sort(np.array(chosen, np.int64).view(np.uint64))
+    held = docs.sparkSession.sparkContext.broadcast(keys)
+
+    def coded(batches):
+        for b in batches:
+            out = []
+            for x in b.column(1):
+                f = x.values.to_numpy().view(np.uint64)
+                at = np.searchsorted(held.value, f)
+                at[at == len(held.value)] = 0
+                out.append(at[held.value[at] == f].astype(np.int32).tobytes() if len(held.value) else b"")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["toxic", "f"])
+
+    got = seen.mapInArrow(coded, "toxic int, f binary").collect()
+    codes = [np.frombuffer(r["f"], np.int32) for r in got]
+    scratch.drop(seen)
+    y = np.array([float(r["toxic"]) for r in got])
+    return train(y, np.repeat(np.arange(len(y)), [len(c) for c in codes]), np.concatenate(codes), keys, **params)
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 20_000, **params) -> DataFrame:
