@@ -39,11 +39,23 @@ def fit(counts: dict[int, int], budget: int, capacity: int = 1 << 17) -> dict[in
     """Documents to take of each size, so that their sizes add up to budget, or to the closest sum below.
 
     Proportional shares first; then each remainder is offered to a 0/1-reachability program (bits are sums, counts are
-    split in powers of two) over at most ``capacity`` words.
+    split in powers of two) over at most ``capacity`` words. If no sum fits, less is dealt out by share, and at last
+    nothing, so that the program has more to choose from.
     """
     total = sum(s * c for s, c in counts.items())
     budget = max(0, min(budget, total))
-    take = {s: c * budget // total if total else 0 for s, c in counts.items() if s}
+    best: dict[int, int] = {}
+    for tenths in (10, 9, 5, 0):
+        take = fit_from({s: c * budget * tenths // (10 * total) if total else 0 for s, c in counts.items() if s}, counts, budget, capacity)
+        if not best or sum(s * n for s, n in take.items()) > sum(s * n for s, n in best.items()):
+            best = take
+        if sum(s * n for s, n in best.items()) == budget:
+            break
+    return best
+
+
+def fit_from(take: dict[int, int], counts: dict[int, int], budget: int, capacity: int) -> dict[int, int]:
+    """fit() with some documents taken already."""
     rest = budget - sum(s * c for s, c in take.items())
     for s in sorted(take, reverse=True):
         if rest - capacity // 2 < s:
