@@ -145,22 +145,26 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def confirm(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the held sets (held = 0) and the others of each (grp, part), in sorted streams.
 
-    Tasks hold the group's held sets, HELD at most, and see the others one by one.
+    Tasks hold the group's held sets, HELD at most, and see the others one by one. Between the same two components one
+    link is enough, so further pairs of them are neither compared nor emitted.
     """
     sized = rows.repartition("grp", "part").sortWithinPartitions("grp", "part", "held")
 
     def run(batches):
-        group, mine = None, []
+        group, mine, joined = None, [], set()
         for b in batches:
             links = []
             for g, p, h, comp, cls, raw in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if (g, p) != group:
-                    group, mine = (g, p), []
+                    group, mine, joined = (g, p), [], set()
                 s = np.frombuffer(raw, np.uint64)
                 if h == 0:
                     mine.append((cls, comp, s))
                 else:
-                    links += [(cls, c) for c, o, t in mine if o != comp and linked(s, t, percent)]
+                    for c, o, t in mine:
+                        if o != comp and (o, comp) not in joined and linked(s, t, percent):
+                            joined.add((o, comp))
+                            links.append((cls, c))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return sized.select("grp", "part", "held", "comp", "cls", "set").mapInArrow(run, "a long, b long")
@@ -170,8 +174,8 @@ def star_rows(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows for confirm(): pairs (center, member), the members of a large star in blocks."""
     many = pairs.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     cut = pairs.join(many, "center").select("center", "member", F.expr("pmod(xxhash64(member), blocks)").alias("part"))
-    members = cut.join(sets, F.col("member") == sets["cls"]).select(F.col("center").alias("grp"), "part", F.lit(1).alias("held"), F.lit(1).cast("long").alias("comp"), "cls", "set")
-    centers = cut.select("center", "part").distinct().join(sets, F.col("center") == sets["cls"]).select(F.col("center").alias("grp"), "part", F.lit(0).alias("held"), F.lit(0).cast("long").alias("comp"), "cls", "set")
+    members = cut.join(sets, F.col("member") == sets["cls"]).select(F.col("center").alias("grp"), "part", F.lit(1).alias("held"), F.col("cls").alias("comp"), "cls", "set")
+    centers = cut.select("center", "part").distinct().join(sets, F.col("center") == sets["cls"]).select(F.col("center").alias("grp"), "part", F.lit(0).alias("held"), F.col("cls").alias("comp"), "cls", "set")
     return members.unionByName(centers)
 
 
