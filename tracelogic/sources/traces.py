@@ -57,7 +57,7 @@ def parse_plain(text: DataFrame, timed: bool = False) -> tuple[DataFrame, DataFr
     rows = text.where(F.trim("value") != "")
     last = F.size(parts) - (1 if timed else 0)
     ts = F.get(parts, F.size(parts) - 1).cast("long") if timed else F.col("n").cast("long")
-    facts = rows.select(F.trim(parts[0]).alias("relation"), F.col("n").cast("long").alias("tp"), ts.alias("ts"), F.transform(F.slice(parts, 2, F.greatest(F.lit(0), last - 1)), F.trim).alias("args"))
+    facts = rows.select(F.trim(parts[0]).alias("relation"), F.col("n").cast("long").alias("tp"), ts.alias("ts"), F.transform(F.slice(parts, 2, F.greatest(F.lit(0), last - 1)), lambda x: F.trim(x)).alias("args"))
     return facts, facts.select("tp", "ts").distinct()
 
 
@@ -192,7 +192,7 @@ def parse_verdicts(text: DataFrame) -> DataFrame:
     rows = text.where(F.regexp_like("value", F.lit(r"^@-?[0-9]+\. \(time"))).select(m(2).cast("long").alias("tp"), m(1).cast("long").alias("ts"), m(3).alias("rest"))
     closed = F.regexp_like("rest", F.lit(r"^\(?true\)?$"))
     bindings = F.when(closed, F.array(F.lit(""))).otherwise(F.regexp_extract_all("rest", F.lit(r"\(([^)]*)\)"), F.lit(1)))
-    return rows.select("tp", "ts", F.explode(bindings).alias("_x")).select("tp", "ts", F.when(F.col("_x") == "", F.array().cast("array<string>")).otherwise(F.transform(F.split("_x", ","), F.trim)).alias("args"))
+    return rows.select("tp", "ts", F.explode(bindings).alias("_x")).select("tp", "ts", F.when(F.col("_x") == "", F.array().cast("array<string>")).otherwise(F.transform(F.split("_x", ","), lambda x: F.trim(x))).alias("args"))
 
 
 def diff_verdicts(a: DataFrame, b: DataFrame, collapse: bool = False) -> DataFrame:
