@@ -66,4 +66,52 @@ QUERIES = {
     f.__name__: f
     for f in (op1_decontaminate, op2_html_text, op3_pii, op4_secrets, op5_suffix_dedup, op6_toxicity, op7_mixing, op8_quality, op9_minhash, op10_chunk_dedup)
 }
-ORACLES: dict[str, str] = {}
+#: Windows of every length that the items have (10 words, or a shorter item's whole) at every place of a document.
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[pos:pos + k - 1], ' ') AS gram
+  FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS pos FROM (SELECT item_id, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0))
+), places AS (
+  SELECT doc_id, k, pos, array_to_string(w[pos:pos + k - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS pos FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)
+), found AS (
+  SELECT DISTINCT doc_id, k, pos, item_id FROM places JOIN windows USING (k, gram)
+), hit AS (
+  SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + k)) AS word FROM found) GROUP BY doc_id
+), item AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)
+"""
+#: All pairs that share a shingle, compared on full sets, and everything that each document reaches.
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[pos:pos + 4], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS pos FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM shingle a JOIN shingle b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), link AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * same >= 75 * (x.n + y.n - same)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM d UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id::BIGINT AS component_id, doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN least USING (doc_id)
+"""
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op9_minhash": OP9_SQL}
