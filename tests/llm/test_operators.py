@@ -219,6 +219,17 @@ def test_secrets(spark):
     assert got[0]["clean_text"] is None and got[5]["clean_text"] == texts[5]
 
 
+def test_long_secrets(spark):
+    r = random.Random(4)
+    key = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    long, dotted, inner = key(5000), ".".join(key(1500) for _ in range(3)), key(40)
+    texts = [f"x password={key(900)} end", f'token: "{long}" end', f"secret={dotted} end", "token=" + "/the/user/name/page" * 60 + "?k=" + inner + " end"]
+    got = {x["doc_id"]: x for x in secrets.scan(frame(spark, texts)).collect()}
+    assert [got[i]["clean_text"] for i in range(3)] == ["x password=[SECRET] end", 'token: "[SECRET]" end', "secret=[SECRET] end"]
+    # a value of over 512 characters that isn't a secret doesn't hide the token in it
+    assert inner not in got[3]["clean_text"] and got[3]["clean_text"].endswith(" end")
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(9)
     plain = ["river", "stone", "walks", "green", "paper", "music", "table", "house", "winter", "letter"]

@@ -1,9 +1,9 @@
 """Secret scans: patterns propose, a random forest removes false positives, in DataFrame expressions only.
 
-Findings are values of assignments to names like password or token, and long tokens with a digit. The forest sees
-length, changes of character class, dictionary coverage, path marks and the neighbouring words. It is grown on the
-driver from labelled findings (by default generated ones: random keys against words, identifiers, paths and numbers)
-and turned into a column expression.
+Findings are values of assignments to names like password or token, whole however long, and long tokens with a digit;
+a token inside a value is judged by itself unless the value is a secret. The forest sees length, changes of character
+class, dictionary coverage, path marks and the neighbouring words. It is grown on the driver from labelled findings (by
+default generated ones: random keys against words, identifiers, paths and numbers) and turned into a column expression.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .native import let, located, overlaps, total
+from .native import let, located, total
 
 #: Names that secrets are assigned to, and forms that are known to be secrets.
 NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)s?"
-ASSIGNED = rf"(?i)(?<![a-z]){NAMES}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"',;]{{6,512}})"
+ASSIGNED = rf"(?i)(?<![a-z]){NAMES}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"',;]{{6,}}+)"
 TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9]|A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_|xox[baprs]-|AIza)[A-Za-z0-9+/_-]{16,}+={0,2}"
 BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
 KNOWN = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[baprs]-[A-Za-z0-9-]{10,}$|^AIza[0-9A-Za-z_-]{35}$|^sk_live_[0-9a-zA-Z]{16,}$|^-----BEGIN "
@@ -137,15 +137,26 @@ def scan(docs: DataFrame, findings=None, threshold: float = 0.5, mask: str = "[S
             f = F.struct(*[c.alias(k) for k, c in features(x["value"], before, F.lit(assigned)).items()])
             return F.struct(x["start"].alias("start"), x["end"].alias("end"), let(f, lambda s: forest_column(forest, s)).alias("score"))
 
-        free = F.filter(tokens, lambda x: ~overlaps(named, x))
-        return F.concat(F.transform(named, lambda x: vote(x, True)), F.transform(free, lambda x: vote(x, False)))
+        # a token is answered by a value that is the same, or by a secret that holds it
+        def answered(votes: Column, x: Column) -> Column:
+            return F.exists(votes, lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & ((y["score"] >= threshold) | (y["start"] == x["start"]) & (y["end"] == x["end"])))
+
+        return let(F.transform(named, lambda x: vote(x, True)), lambda votes: F.concat(votes, F.transform(F.filter(tokens, lambda x: ~answered(votes, x)), lambda x: vote(x, False))))
 
     blocks = guard("PRIVATE KEY-----", BLOCK)
     found = base.withColumn("_blocks", blocks).withColumn("_named", guard(rf"(?i){NAMES}[\"']?\s{{0,3}}[:=]", ASSIGNED, 1)).withColumn("_tokens", guard(TOKEN, TOKEN))
-    outside = lambda c: F.filter(c, lambda x: ~overlaps(F.col("_blocks"), x))
+    outside = lambda c: F.filter(c, lambda x: ~F.exists("_blocks", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])))
     found = found.withColumn("_found", let(outside("_named"), lambda a: let(outside("_tokens"), lambda b: judged(a, b))))
     plain = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))
-    secrets = F.array_sort(F.concat(F.transform("_blocks", plain), F.transform(F.filter("_found", lambda x: x["score"] >= threshold), plain)))
+    spans = F.array_sort(F.concat(F.transform("_blocks", plain), F.transform(F.filter("_found", lambda x: x["score"] >= threshold), plain)))
+
+    def join(out: Column, x: Column) -> Column:
+        """Spans that overlap become their union."""
+        last = F.get(out, F.size(out) - 1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when((F.size(out) > 0) & (x["start"] < last["end"]), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(out, F.array(x)))
+
+    secrets = F.aggregate(spans, F.expr("cast(array() as array<struct<start:int,end:int>>)"), join)
     found = found.withColumn("n_findings", (F.size("_blocks") + F.size("_found")).cast("long")).withColumn("secrets", secrets).withColumn("n_secrets", F.size("secrets").cast("long"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut = F.aggregate("secrets", start, lambda a, x: F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mask)).alias("out")), lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
