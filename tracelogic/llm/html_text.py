@@ -2,10 +2,12 @@
 
 The standard library's streaming parser gives events. Text between block-level tags is a line; a line's ratio is its
 characters over its tags, links weighing against it. Ratios are smoothed with a Gaussian over neighbouring lines, and
-lines at or above the standard deviation are content. The region is the element that holds the content lines: an
-article or main element if one holds most of it, else the deepest element with nearly all of it. Of the region, every
-line stays but those in elements that by tag, role, class or id are menus, headers, footers, sidebars, notices,
-adverts, forms or reader comments; so short paragraphs and headings of an article aren't lost to the threshold.
+lines at or above the standard deviation are content. The region is the smallest element that holds all content lines,
+or the article or main element around it; where articles that aren't in one main element hold most of the content, they
+are joined, and content outside them is kept line by line. Headings and paragraphs beside the region stay. Of the
+region, every line stays but those in elements that by tag, role, class or id are menus, headers of the site, footers,
+sidebars, notices, adverts, forms or reader comments; so short paragraphs and headings of an article aren't lost to the
+threshold.
 """
 
 from __future__ import annotations
@@ -29,10 +31,14 @@ DROPPED = frozenset("head script style noscript template nav footer aside form b
 CLOSES = {**dict.fromkeys(BLOCK - {"li", "dd", "dt", "td", "th", "tr"}, ("p",)), "li": ("p", "li"), "dd": ("p", "dd", "dt"), "dt": ("p", "dd", "dt"), "td": ("p", "td", "th"), "th": ("p", "td", "th"), "tr": ("p", "td", "th", "tr")}
 SCOPE = frozenset("table ul ol dl div article section main body td th blockquote aside nav header footer form".split())
 NAMED = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment\w*|consent|cookies?|copyright|disqus|footer|gdpr|header|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|"
+    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment\w*|consent|cookies?|copyright|disqus|footer|gdpr|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|"
     r"pagination|pager|popup|promo\w*|recommend\w*|related|replies|respond|share|sharing|sidebar|side-bar|skip|social|sponsor\w*|subscribe|toolbar|topbar|widget)(?:$|[-_\s\d])",
     re.I,
 )
+#: Headers of the site, but not those of an entry.
+HEADER = re.compile(r"(?:^|\s|(?<!entry)(?<!post)(?<!article)(?<!content)(?<!story)(?<!page)(?<!section)[-_])(?:header|masthead)(?:$|[-_\s\d])", re.I)
+#: has-sidebar and the like say what is beside or in an element, not what it is.
+MODIFIER = re.compile(r"(?:(?<=\s)|(?<=[-_])|^)(?:has|have|no|not|with|without)[-_]\S*", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACE = re.compile(r"\s+")
@@ -77,13 +83,13 @@ class Lines(HTMLParser):
         inside = any(t in ("article", "main") for t, _, _ in self.open)
         if not dropped and tag not in ("html", "body"):
             a = dict(attrs)
-            names = f"{a.get('class') or ''} {a.get('id') or ''}"
+            names = MODIFIER.sub("", f"{a.get('class') or ''} {a.get('id') or ''}")
             dropped = (
                 tag in DROPPED
                 or (tag == "header" and not inside)
                 or (a.get("role") or "").lower() in ROLES
                 or "hidden" in a
-                or (tag not in ("article", "main") and tag not in HEADING and bool(NAMED.search(names)))
+                or (tag not in ("article", "main") and tag not in HEADING and bool(NAMED.search(names) or (not inside and HEADER.search(names))))
             )
         self.open.append((tag, len(self.kind), dropped))
         self.kind.append(tag)
@@ -117,6 +123,63 @@ def smooth(values: list[float], sigma: float = 1.0, radius: int = 2) -> list[flo
     return out
 
 
+def region(lines: list, content: list, kind: list[str]) -> list[bool]:
+    """Which lines are of the region of ``content``, or beside it."""
+    weigh = lambda xs: sum(max(0, len(x[0]) - x[2]) for x in xs)
+    # headings don't widen the region; those of the content are kept in any case
+    head = lambda x: any(kind[n] in HEADING for n in x[3])
+    body = [x for x in content if not head(x)] or content
+    whole = body[0][3]
+    for x in body:
+        n = 0
+        while n < min(len(whole), len(x[3])) and whole[n] == x[3][n]:
+            n += 1
+        whole = whole[:n]
+    marked = lambda path: [i for i, n in enumerate(path) if kind[n] in ("article", "main")]
+    within = marked(whole)
+    # the paths of what is kept whole, and the lines kept besides
+    cores, single = {whole[: within[-1] + 1] if within else whole}, [x for x in content if head(x)]
+    if not within:
+        while whole and (kind[whole[-1]] not in BLOCK or kind[whole[-1]] == "p" or kind[whole[-1]] in HEADING):
+            whole = whole[:-1]
+        cores = {whole}
+        if 2 * weigh([x for x in content if marked(x[3])]) >= weigh(content):
+            cores = {x[3][: marked(x[3])[0] + 1] for x in content if marked(x[3])}
+            single = [x for x in content if head(x) or not marked(x[3])]
+    held = {path[-1] for path in cores if path}
+    above = {n for path in cores for n in path[:-1]} | {n for x in single for n in x[3] if kind[n] not in ("p", *HEADING)}
+    kept = {id(x) for x in single}
+
+    def child(path: tuple[int, ...]) -> tuple[int | None, str]:
+        """The block element that holds a line under the last element that also holds something kept, and that one's tag."""
+        at = max((i for i, n in enumerate(path) if n in above), default=-1)
+        return next((n for n in path[at + 1 :] if kind[n] in BLOCK), None), kind[path[at]] if at >= 0 else "body"
+
+    def prose(x) -> bool:
+        blocks = [kind[n] for n in x[3] if kind[n] in BLOCK]
+        return bool(blocks) and (blocks[-1] == "p" or blocks[-1] in HEADING)
+
+    rest: dict[int, list] = {}
+    for x in lines:
+        if () in cores or not held.isdisjoint(x[3]):
+            kept.add(id(x))
+        elif id(x) not in kept:
+            n, _ = child(x[3])
+            if n is None:
+                # text without an element of its own is a paragraph
+                if not x[2]:
+                    kept.add(id(x))
+            else:
+                rest.setdefault(n, []).append(x)
+    for n, xs in rest.items():
+        direct = kind[n] == "p" or kind[n] in HEADING
+        outer = child(xs[0][3])[1] in ("html", "body")
+        wrapped = all(prose(x) and 2 * x[2] <= len(x[0]) for x in xs) and (not outer or any(kind[m] in HEADING for x in xs for m in x[3]))
+        if direct or wrapped:
+            kept.update(id(x) for x in xs)
+    return [id(x) in kept for x in lines]
+
+
 def main_text(html: str | None) -> str:
     """The page's main text; lines are joined by an empty line."""
     if not html:
@@ -132,15 +195,9 @@ def main_text(html: str | None) -> str:
     mean = sum(ratio) / len(ratio)
     threshold = math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))
     content = [x for x, r in zip(lines, ratio, strict=True) if r >= threshold] or lines
-    mass: dict[int, int] = {}
-    for t, _, links, path in content:
-        for n in path:
-            mass[n] = mass.get(n, 0) + max(0, len(t) - links)
-    total = sum(max(0, len(t) - links) for t, _, links, _ in content)
-    named = [n for n in mass if parser.kind[n] in ("article", "main") and 2 * mass[n] >= total]
-    wide = [n for n in mass if parser.kind[n] not in ("p", "li", "b", "i", "a", "span", "em", "strong", *HEADING) and 10 * mass[n] >= 9 * total]
-    region = max(named or wide, default=None)
-    return "\n\n".join(x[0] for x in lines if region is None or region in x[3])
+    # lines of links alone have no mass of their own
+    keep = region(lines, [x for x in content if len(x[0]) > x[2]] or content, parser.kind)
+    return "\n\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:
