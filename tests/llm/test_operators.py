@@ -230,6 +230,16 @@ def test_long_secrets(spark):
     assert inner not in got[3]["clean_text"] and got[3]["clean_text"].endswith(" end")
 
 
+def test_secrets_without_digits(spark):
+    r = random.Random(8)
+    key = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,1F\n\nMIIE\n-----END RSA PRIVATE KEY-----"
+    words = "the internationalization of state-of-the-art-solutions ---------------- by getUserNameFromConfig"
+    texts = [f"see {key(16)} here", f"see {key(70)}1{key(9)} here", f"{pem} and {pem} end", words]
+    got = {x["doc_id"]: x["clean_text"] for x in secrets.scan(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(4)] == ["see [SECRET] here", "see [SECRET] here", "[SECRET] and [SECRET] end", words]
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(9)
     plain = ["river", "stone", "walks", "green", "paper", "music", "table", "house", "winter", "letter"]

@@ -1,9 +1,10 @@
 """Secret scans: patterns propose, a random forest removes false positives, in DataFrame expressions only.
 
-Findings are values of assignments to names like password or token, whole however long, and long tokens with a digit;
-a token inside a value is judged by itself unless the value is a secret. The forest sees length, changes of character
-class, dictionary coverage, path marks and the neighbouring words. It is grown on the driver from labelled findings (by
-default generated ones: random keys against words, identifiers, paths and numbers) and turned into a column expression.
+Findings are values of assignments to names like password or token, whole however long, and tokens of 16 or more
+characters; a token inside a value is judged by itself unless the value is a secret. The forest sees length, changes of
+character class, dictionary coverage, path marks and the neighbouring words. It is grown on the driver from labelled
+findings (by default generated ones: random keys against words, identifiers, paths and numbers) and turned into a
+column expression.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from .native import let, located, total
 #: Names that secrets are assigned to, and forms that are known to be secrets.
 NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)s?"
 ASSIGNED = rf"(?i)(?<![a-z]){NAMES}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"',;]{{6,}}+)"
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9]|A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_|xox[baprs]-|AIza)[A-Za-z0-9+/_-]{16,}+={0,2}"
-BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
+BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,30}PRIVATE KEY-----"
 KNOWN = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[baprs]-[A-Za-z0-9-]{10,}$|^AIza[0-9A-Za-z_-]{35}$|^sk_live_[0-9a-zA-Z]{16,}$|^-----BEGIN "
 KEYWORD_BEFORE = rf"(?i){NAMES}[\"']?\s*[:=]?\s*[\"']?$"
 #: Common letter groups of several languages; what they cover looks like words.
