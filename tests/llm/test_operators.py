@@ -111,6 +111,19 @@ def test_suffix_dedup(spark, parts):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize("length", [0, 47, 304, 1000])
+def test_suffix_dedup_refuses_lengths(spark, length):
+    with pytest.raises(ValueError, match="length"):
+        suffix_dedup.remove_repeats(frame(spark, ["a" * 2000]), length)
+
+
+@pytest.mark.parametrize("length", [48, 303])
+def test_suffix_dedup_at_the_ends(spark, length):
+    shared = "".join(random.Random(3).choice("abcdefgh") for _ in range(length))
+    got = {x["doc_id"]: x["n_removed"] for x in suffix_dedup.remove_repeats(frame(spark, ["x" + shared + "y", "z" + shared, shared[:-1] + "q"]), length).collect()}
+    assert got == {0: length, 1: length, 2: 0}
+
+
 def test_chunk_dedup(spark):
     r = random.Random(1)
     body = " ".join(str(r.random()) for _ in range(150))

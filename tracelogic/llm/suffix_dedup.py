@@ -252,6 +252,8 @@ def text_key(text):
 def repeated_spans(docs: DataFrame, length: int = 200, partition_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): the bucketed table (key, text, copies) of different texts of ``length`` bytes at least, and
     (key, list of start << 32 | end) for those with repeated spans; copies are not in the list."""
+    if not GRAM <= length < GRAM + 256:
+        raise ValueError(f"length must be {GRAM} to {GRAM + 255} bytes, as offsets of anchors are kept in 8 bits: {length}")
     spark = docs.sparkSession
     scratch = Scratch(spark)
     whole = docs.select("text").where(F.octet_length("text") >= length)
@@ -365,6 +367,7 @@ def union_of(spans: list[int] | None) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, length: int = 200, partition_bytes: int = 32 << 20) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of start, end in bytes).
 
+    Other lengths than 48 to 303 are an error.
     Null is empty; texts shorter than ``length`` lose nothing. Of repeated rows and equal texts every one is removed
     whole (they start anywhere else). Extra columns are ignored; empty tables give none. Text keys are 64-bit hashes:
     two different texts share one with probability 2**-64 a pair.
