@@ -124,18 +124,6 @@ def test_suffix_dedup_at_the_ends(spark, length):
     assert got == {0: length, 1: length, 2: 0}
 
 
-def test_chunk_dedup(spark):
-    r = random.Random(1)
-    body = " ".join(str(r.random()) for _ in range(150))
-    texts = [None, "", body, "inserted first " + body, body, "other " * 3]
-    got = {x["doc_id"]: x for x in remove_chunks(frame(spark, texts)).collect()}
-    assert got[2]["n_removed"] == 0 and got[4]["n_removed"] == len(body) and got[4]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
-    assert 0.8 * len(body) < got[3]["n_removed"] <= len(body)
-    assert [got[i]["n_bytes"] for i in (0, 1)] == [0, 0]
-    # each different chunk is kept once, so a second pass over what is kept has nothing to do with order
-    assert sum(x["n_chunks"] - x["n_removed_chunks"] for x in got.values()) > 10
-
-
 def test_mixing(spark):
     texts = [" ".join("w" * (1 + i % 3) for _ in range(r)) for i, r in enumerate(random.Random(2).choices(range(0, 60), k=200))] + [None]
     docs = frame(spark, texts).withColumn("source", F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 2 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("doc_id") % 5).cast("string"))))
