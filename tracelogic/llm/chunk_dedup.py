@@ -135,14 +135,21 @@ def joined(x: np.ndarray) -> np.ndarray:
 
 
 def answers(x: np.ndarray) -> pa.RecordBatch:
-    doc = pa.array(x["doc"], mask=x["null"])
-    return pa.RecordBatch.from_arrays([doc, pa.array(x["copy"]), pa.array(x["start"].astype(np.int64) << 32 | x["end"])], ["doc_id", "copy", "span"])
+    """One row for each document of the sorted runs x."""
+    new = np.ones(len(x), bool)
+    new[1:] = (x["null"][1:] != x["null"][:-1]) | (x["doc"][1:] != x["doc"][:-1]) | (x["copy"][1:] != x["copy"][:-1])
+    at = np.flatnonzero(new)
+    doc, first = pa.array(x["doc"], mask=x["null"]), pa.array(at)
+    spans = pa.ListArray.from_arrays(pa.array(np.append(at, len(x)), pa.int32()), pa.array(x["start"].astype(np.int64) << 32 | x["end"]))
+    return pa.RecordBatch.from_arrays([doc.take(first), pa.array(x["copy"][at]), spans], ["doc_id", "copy", "span"])
 
 
 def removed_spans(docs: DataFrame, reach: int, least: int, partition_bytes: int) -> DataFrame:
     """(doc_id, copy, spans): start << 32 | end of what goes, in pieces; copy tells texts of one doc_id apart."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // partition_bytes))
+    # a task solves its parts one by one, so its memory stays the same where tasks stop growing in number
+    tasks = int(min(20_000, max(1, -(-total // partition_bytes))))
+    parts = max(1, -(-4 * total // partition_bytes))
 
     def local(batches):
         held: list[np.ndarray] = []
@@ -204,11 +211,11 @@ def removed_spans(docs: DataFrame, reach: int, least: int, partition_bytes: int)
             yield from solve()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text").where(F.octet_length("text") > 0)
-    packed = source.mapInArrow(local, "pid long, blob binary").repartition(int(parts), "pid").sortWithinPartitions("pid")
-    return packed.mapInArrow(decide, "doc_id long, copy long, span long").groupBy("doc_id", "copy").agg(F.collect_list("span").alias("spans"))
+    packed = source.mapInArrow(local, "pid long, blob binary").repartition(tasks, "pid").sortWithinPartitions("pid")
+    return packed.mapInArrow(decide, "doc_id long, copy long, span array<long>").groupBy("doc_id", "copy").agg(F.flatten(F.collect_list("span")).alias("spans"))
 
 
-def remove_chunks(docs: DataFrame, reach: int = 24, least: int = 128, partition_bytes: int = 64 << 20) -> DataFrame:
+def remove_chunks(docs: DataFrame, reach: int = 24, least: int = 128, partition_bytes: int = 32 << 20) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_chunks, n_removed (bytes), n_removed_chunks, kept_sha256, removed (array of start, size).
 
     Null and empty texts have no chunks. Order is by doc_id (null last), then text hash, then start; rows that repeat
