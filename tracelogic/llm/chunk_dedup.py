@@ -189,26 +189,36 @@ def removed_spans(docs: DataFrame, reach: int, least: int, partition_bytes: int)
             yield flush()
 
     def decide(batches):
-        pid, blobs = None, []
+        pid, blobs, done = None, [], []
 
         def solve():
-            gone = joined(firsts(np.concatenate(blobs))[1])
-            for i in range(0, len(gone), 100_000):
-                yield answers(gone[i : i + 100_000])
+            done.append(firsts(np.concatenate(blobs))[1])
+            blobs.clear()
+
+        def full(limit: int) -> bool:
+            return bool(done) and sum(map(len, done)) > limit
+
+        def said():
+            out = joined(np.concatenate(done))
+            done.clear()
+            return answers(out)
 
         for b in batches:
             for p, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 x = np.frombuffer(blob, RUN)
                 if p < 0:
-                    yield answers(x)
-                    continue
-                if p != pid:
-                    if blobs:
-                        yield from solve()
-                    pid, blobs = p, []
-                blobs.append(x)
+                    done.append(x)
+                elif p != pid and blobs:
+                    solve()
+                if p >= 0:
+                    pid = p
+                    blobs.append(x)
+                if full(HELD):
+                    yield said()
         if blobs:
-            yield from solve()
+            solve()
+        if full(0):
+            yield said()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text").where(F.octet_length("text") > 0)
     packed = source.mapInArrow(local, "pid long, blob binary").repartition(tasks, "pid").sortWithinPartitions("pid")
