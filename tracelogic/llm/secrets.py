@@ -3,8 +3,9 @@
 Findings are values of assignments to names like password or token, whole however long, and tokens of 16 or more
 characters; a token inside a value is judged by itself unless the value is a secret. The forest sees length, changes of
 character class, dictionary coverage, path marks and the neighbouring words. It is grown on the driver from labelled
-findings (by default generated ones: random keys against words, identifiers, paths and numbers) and turned into a
-column expression.
+findings (by default generated ones: keys of many makes against names, identifiers, paths, versions, checksums and
+numbers, with neighbours that help, mislead or say nothing) and turned into a column expression. The words of the
+generated findings are not those that the coverage feature knows.
 """
 
 from __future__ import annotations
@@ -15,21 +16,33 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .native import let, located, total
+from .native import NO_SPANS, cut, let, located, pieces, total, union, where_seen
 
 #: Names that secrets are assigned to, and forms that are known to be secrets.
 NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)s?"
-ASSIGNED = rf"(?i)(?<![a-z]){NAMES}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"',;]{{6,}}+)"
+ASSIGNED = rf"(?i)(?<![a-z]){NAMES}[\"']?\s*+[:=]\s*+[\"']?([^\s\"',;]{{6,}}+)"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
-BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,30}PRIVATE KEY-----"
+BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
 KNOWN = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[baprs]-[A-Za-z0-9-]{10,}$|^AIza[0-9A-Za-z_-]{35}$|^sk_live_[0-9a-zA-Z]{16,}$|^-----BEGIN "
 KEYWORD_BEFORE = rf"(?i){NAMES}[\"']?\s*[:=]?\s*[\"']?$"
+#: Neighbouring words of checksums and identifiers, and of samples.
+CHECKSUM_WORDS = r"(?i)\b(?:commit|sha-?(?:1|256|512)?|md5|checksum|digest|etag|hash|revision|uuid|guid|build|rev|fingerprint|id|blob|tree|parent)\W{0,3}$"
+SAMPLE_WORDS = r"(?i)\b(?:example|sample|dummy|fake|placeholder|test|demo|your|e\.g\.)\W{0,3}(?:\w+\W{1,3})?$"
 #: Common letter groups of several languages; what they cover looks like words.
 GROUPS = (
     "tion|ment|ing|the|and|ent|ion|ter|est|ers|ati|hat|ate|all|eth|her|con|res|ver|com|per|int|pro|ist|ess|ble|out|man|son|ght|ick|est|ung|sch|ich|ein|der|die|und|gen|cht|keit|heit|"
     "que|les|des|our|eau|eux|ait|ado|dad|par|aci|ente|ando|user|name|test|data|file|path|class|func|value|index|list|config|default|example|version|build|model|page|http|html|www"
 )
-FEATURES = ("length", "changes", "coverage", "slashes", "digits", "upper", "hexadecimal", "only_digits", "keyword", "assigned", "known", "marks", "distinct")
+FEATURES = ("length", "changes", "coverage", "path", "extension", "digits", "upper", "hexadecimal", "only_digits", "dashed", "keyword", "checksum", "sample", "assigned", "known", "marks", "distinct", "vowels")
+#: Words and name parts of the generated findings that are no secrets.
+WORDS = (
+    "account balance border bridge button calendar camera castle change client color copper corner country cursor delta desert diagram dragon driver editor engine event export field filter flower folder forest format frame garden "
+    "handler harbor header helper image insert island journal kernel ladder layout letter library linear manager market memory message mirror module mountain number object option orange output packet parser pattern pencil planet pocket "
+    "process profile project queue random record region release remote render report request result river router sample schema screen script search server service session shadow signal silver simple socket source spring status storage "
+    "stream string style summer switch symbol system table target thread ticket timer title track trigger update upload vector video view wagon water window winter worker wrapper abfahrt bahnhof brücke garten himmel kirche schule straße "
+    "wasser zeitung chemin jardin maison montagne rivière voiture camino ciudad iglesia montaña puente ventana"
+).split()
+SHORT = "get set is to from by on off add new old has for max min key id of with all run end any not user name".split()
 
 
 def features(value: Column, before: Column, assigned: Column) -> dict[str, Column]:
@@ -38,34 +51,54 @@ def features(value: Column, before: Column, assigned: Column) -> dict[str, Colum
     kinds = F.translate(value, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "0" * 10)
     runs = F.length(F.regexp_replace(kinds, r"(.)\1++", "$1"))
     number = lambda c: F.when(c, 1.0).otherwise(0.0)
+    like = lambda c, p: number(F.regexp_like(c, F.lit(p)))
     share = lambda chars: F.lit(1.0) - F.length(F.translate(value, chars, "")) / n
     return {
-        "length": F.least(n, F.lit(200.0)), "changes": (runs - 1) / n, "coverage": F.lit(1.0) - F.length(F.regexp_replace(F.lower(value), GROUPS, "")) / n,
-        "slashes": F.least(n - F.length(F.translate(value, "/.", "")), F.lit(20.0)), "digits": share("0123456789"), "upper": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-        "hexadecimal": number(F.regexp_like(value, F.lit("^(?:[0-9a-f]++|[0-9A-F]++)$"))), "only_digits": number(F.regexp_like(value, F.lit("^[0-9-]++$"))),
-        "keyword": number(F.regexp_like(before, F.lit(KEYWORD_BEFORE))), "assigned": number(assigned), "known": number(F.regexp_like(value, F.lit(KNOWN))),
-        "marks": share("_-+=$@!%^&*#?"), "distinct": F.size(F.array_distinct(F.split(F.substring(value, 1, 200), ""))) / F.least(n, F.lit(200.0)),
+        "length": F.log(n), "changes": (runs - 1) / n, "coverage": F.lit(1.0) - F.length(F.regexp_replace(F.lower(value), GROUPS, "")) / n,
+        "path": (n - F.length(F.translate(value, "/.", ""))) / F.sqrt(n), "extension": like(value, r"(?:^|/)[\w-]+\.[a-z]{1,4}$|^/|^https?:"), "digits": share("0123456789"), "upper": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        "hexadecimal": like(value, "^(?:[0-9a-f]++|[0-9A-F]++)$"), "only_digits": like(value, "^[0-9-]++$"), "dashed": like(value, r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[a-z]+(?:[-_][a-z]+)++$"),
+        "keyword": like(before, KEYWORD_BEFORE), "checksum": like(before, CHECKSUM_WORDS), "sample": like(before, SAMPLE_WORDS), "assigned": number(assigned), "known": like(value, KNOWN),
+        "marks": share("_-+=$@!%^&*#?"), "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(64.0)), "vowels": share("aeiouAEIOU"),
     }
 
 
 def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, bool, int]]:
-    """Generated (value, text before, assigned, label): random keys are secrets; words, paths, names, numbers are not."""
+    """Generated (value, text before, assigned, label), half of them secrets."""
     r = random.Random(seed)
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    parts = [g for g in GROUPS.split("|") if g]
-    word = lambda: "".join(r.choice(parts) for _ in range(r.randint(1, 3)))
+    letters = lower + upper
+    word = lambda: r.choice(WORDS)
     some = lambda chars, a, b: "".join(r.choice(chars) for _ in range(r.randint(a, b)))
-    good = [lambda: some("0123456789abcdef", 12, 64), lambda: some("0123456789abcdef", 16, 24), lambda: some(lower + upper + digits, 16, 64), lambda: some(lower + upper + digits + "+/", 24, 88), lambda: "AKIA" + some(upper + digits, 16, 16), lambda: "ghp_" + some(lower + upper + digits, 36, 36), lambda: some(lower + upper + digits + "!@#$%^&*", 8, 20)]
+    many = lambda a, b: [word() for _ in range(r.randint(a, b))]
+    brief = lambda: r.choice(SHORT) if r.random() < 0.4 else word()
+    camel = lambda: "".join(w.title() if i else w for i, w in enumerate(brief() for _ in range(r.randint(4, 6))))
+    hexa = lambda a, b: some("0123456789abcdef", a, b)
+    good = [
+        lambda: hexa(32, 64), lambda: hexa(16, 24), lambda: some(letters + digits, 16, 64), lambda: some(letters + digits, 64, 400), lambda: some(letters + digits + "+/", 24, 88) + r.choice(["", "=", "=="]), lambda: some(letters, 16, 70),
+        lambda: "AKIA" + some(upper + digits, 16, 16), lambda: "ghp_" + some(letters + digits, 36, 36), lambda: some(letters + digits + "!@#$%^&*", 8, 20), lambda: "ey" + ".".join(some(letters + digits + "-_", 20, 300) for _ in range(3)), lambda: some(upper + digits, 16, 40),
+    ]
     bad = [
-        lambda: "_".join(word() for _ in range(r.randint(2, 5))) + some(digits, 1, 3), lambda: "/".join(word() for _ in range(r.randint(3, 6))) + "/" + some(digits, 1, 4), lambda: "".join(word().title() for _ in range(r.randint(3, 5))) + some(digits, 1, 2),
-        lambda: some(digits, 16, 24), lambda: "-".join([some(digits, 4, 4), some(digits, 2, 2), some(digits, 2, 2), word(), word()]), lambda: word() + "-" + word() + "-v" + some(digits, 1, 2) + "-" + word(), lambda: r.choice(["your_password_1", "changeme123", "example_token_1", "xxxxxxxx1234", "placeholder1", "aaaaaaaaaaaaaaaa1", "1234567890123456"]),
+        lambda: "_".join(many(2, 5)) + r.choice(["", some(digits, 1, 3)]), lambda: "/".join(many(3, 6)) + r.choice(["", "/" + some(digits, 1, 4), "." + some(lower, 2, 3)]), lambda: "/" + "/".join(many(3, 9)), lambda: camel() + r.choice(["", some(digits, 1, 2)]), lambda: "".join(many(2, 4)),
+        lambda: some(digits, 16, 24), lambda: "-".join([some(digits, 4, 4), some(digits, 2, 2), some(digits, 2, 2), word(), word()]), lambda: word() + "-" + word() + "-v" + some(digits, 1, 2) + "-" + word(), lambda: "-" * r.randint(16, 40), lambda: "_" * r.randint(16, 40), lambda: "=".join(many(2, 2)),
+        lambda: "your_" + word() + "_here", lambda: r.choice("xX*a01") * r.randint(8, 24), lambda: "changeme" + some(digits, 1, 3), lambda: "12345678901234567890"[: r.randint(8, 20)], lambda: "-".join(many(3, 6)), lambda: word() + "." + word() + "." + word(), lambda: word() + some(digits, 0, 2),
     ]
+    keyed = ["password=", 'token = "', "api_key: ", "secret=", "Bearer ", "auth_token: '"]
     out = []
     for _ in range(n):
-        keyed = r.random() < 0.5
-        out.append((r.choice(good)(), r.choice(["password=", "token = \"", "api_key: "]) if keyed else word() + " ", keyed, 1))
-        keyed = r.random() < 0.25
-        out.append((r.choice(bad)(), r.choice(["token: ", "secret = \""]) if keyed else word() + " ", keyed, 0))
+        kind = r.random()
+        if kind < 0.45:
+            out.append((r.choice(good)(), r.choice([word() + " ", word() + " ", "\n", "(", ""]), False, 1))
+        else:
+            out.append((r.choice(good)(), word() + " " + r.choice(keyed), True, 1))
+        kind = r.random()
+        if kind < 0.55:
+            out.append((r.choice(bad)(), r.choice([word() + " ", "", "\n", '"']), False, 0))
+        elif kind < 0.75:
+            out.append((r.choice(bad)(), word() + " " + r.choice(keyed), True, 0))
+        elif kind < 0.95:
+            out.append((r.choice([lambda: hexa(32, 64), lambda: hexa(40, 40), lambda: "-".join(hexa(k, k) for k in (8, 4, 4, 4, 12))])(), word() + " " + r.choice(["commit ", "sha256:", "md5=", "checksum: ", "uuid ", "etag: ", "revision ", "digest: ", "hash "]), False, 0))
+        else:
+            out.append((r.choice(good[:5])(), r.choice(["example key ", "sample ", "dummy value ", "placeholder: "]), False, 0))
     return out
 
 
@@ -127,39 +160,35 @@ def scan(docs: DataFrame, findings=None, threshold: float = 0.5, mask: str = "[S
     """
     forest = train(docs.sparkSession, findings)
     added = ("n_findings", "n_secrets", "secrets", "clean_text")
-    base = docs.drop(*added)
-    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
+    base = docs.drop(*added, *[c for c in docs.columns if c.startswith("_sec_")])
+    none = F.expr(NO_SPANS)
     text = F.coalesce(F.col("text"), F.lit(""))
     guard = lambda hint, pattern, group=0: F.when(F.regexp_like(text, F.lit(hint)), located(text, pattern, group)).otherwise(none)
-
-    def judged(named: Column, tokens: Column) -> Column:
-        def vote(x: Column, assigned: bool) -> Column:
-            before = F.substring(text, F.greatest(F.lit(1), x["start"] - 31), F.least(F.lit(32), x["start"]))
-            f = F.struct(*[c.alias(k) for k, c in features(x["value"], before, F.lit(assigned)).items()])
-            return F.struct(x["start"].alias("start"), x["end"].alias("end"), let(f, lambda s: forest_column(forest, s)).alias("score"))
-
-        # a token is answered by a value that is the same, or by a secret that holds it
-        def answered(votes: Column, x: Column) -> Column:
-            return F.exists(votes, lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & ((y["score"] >= threshold) | (y["start"] == x["start"]) & (y["end"] == x["end"])))
-
-        return let(F.transform(named, lambda x: vote(x, True)), lambda votes: F.concat(votes, F.transform(F.filter(tokens, lambda x: ~answered(votes, x)), lambda x: vote(x, False))))
-
-    blocks = guard("PRIVATE KEY-----", BLOCK)
-    found = base.withColumn("_blocks", blocks).withColumn("_named", guard(rf"(?i){NAMES}[\"']?\s{{0,3}}[:=]", ASSIGNED, 1)).withColumn("_tokens", guard(TOKEN, TOKEN))
-    outside = lambda c: F.filter(c, lambda x: ~F.exists("_blocks", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])))
-    found = found.withColumn("_found", let(outside("_named"), lambda a: let(outside("_tokens"), lambda b: judged(a, b))))
+    parts = F.col("_sec_parts")
+    inside = lambda x, w: F.coalesce(w >= x["end"], F.lit(False))
+    ends = lambda spans: F.transform(spans, lambda y: F.struct(y["start"].alias("at"), y["end"].cast("long").alias("w")))
+
+    def vote(x: Column, assigned: bool) -> Column:
+        f = lambda before: F.struct(*[c.alias(k) for k, c in features(x["value"], before, F.lit(assigned)).items()])
+        score = let(cut(parts, x["start"] - 48, x["start"]), lambda before: let(f(before), lambda s: forest_column(forest, s)))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), score.alias("score"))
+
+    # spans of one list never overlap, so the last that starts at or before a token is the only one that can hold it
+    outside = lambda spans: where_seen(spans, lambda x: x["start"], ends(F.col("_sec_blocks")), lambda x, w: ~inside(x, w))
+    same = F.transform("_sec_votes", lambda y: F.struct(y["start"].alias("at"), (y["start"].cast("long") * (1 << 31) + y["end"]).alias("w")))
+    held = ends(F.filter("_sec_votes", lambda y: y["score"] >= threshold))
+    # a token is answered by a value that is the same, or by a secret that holds it
+    left = where_seen(F.col("_sec_tokens"), lambda x: x["start"], same, lambda x, w: ~F.coalesce(w == x["start"].cast("long") * (1 << 31) + x["end"], F.lit(False)))
+    left = where_seen(left, lambda x: x["start"], held, lambda x, w: ~inside(x, w))
+    found = base.withColumn("_sec_blocks", guard("PRIVATE KEY-----", BLOCK)).withColumn("_sec_named", guard(rf"(?i){NAMES}[\"']?\s*+[:=]", ASSIGNED, 1)).withColumn("_sec_tokens", guard(TOKEN, TOKEN))
+    some = F.size("_sec_blocks") + F.size("_sec_named") + F.size("_sec_tokens") > 0
+    found = found.withColumn("_sec_parts", F.when(some, pieces(text)))
+    found = found.withColumn("_sec_tokens", outside(F.col("_sec_tokens"))).withColumn("_sec_votes", F.transform(outside(F.col("_sec_named")), lambda x: vote(x, True)))
+    found = found.withColumn("_sec_found", F.concat("_sec_votes", F.transform(left, lambda x: vote(x, False))))
     plain = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))
-    spans = F.array_sort(F.concat(F.transform("_blocks", plain), F.transform(F.filter("_found", lambda x: x["score"] >= threshold), plain)))
-
-    def join(out: Column, x: Column) -> Column:
-        """Spans that overlap become their union."""
-        last = F.get(out, F.size(out) - 1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        return F.when((F.size(out) > 0) & (x["start"] < last["end"]), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(out, F.array(x)))
-
-    secrets = F.aggregate(spans, F.expr("cast(array() as array<struct<start:int,end:int>>)"), join)
-    found = found.withColumn("n_findings", (F.size("_blocks") + F.size("_found")).cast("long")).withColumn("secrets", secrets).withColumn("n_secrets", F.size("secrets").cast("long"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate("secrets", start, lambda a, x: F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mask)).alias("out")), lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    found = found.withColumn("clean_text", F.when(F.size("secrets") > 0, cut).otherwise(F.col("text")))
-    return found.select(*base.columns, *added)
+    spans = F.concat(F.transform("_sec_blocks", plain), F.transform(F.filter("_sec_found", lambda x: x["score"] >= threshold), plain))
+    found = found.withColumn("n_findings", (F.size("_sec_blocks") + F.size("_sec_found")).cast("long")).withColumn("secrets", union(spans)).withColumn("n_secrets", F.size("secrets").cast("long"))
+    gap = lambda x, i: F.concat(cut(parts, F.coalesce(F.get(F.col("secrets"), i - 1)["end"], F.lit(0)), x["start"]), F.lit(mask))
+    rest = cut(parts, F.get("secrets", F.size("secrets") - 1)["end"], F.length(text))
+    clean = F.array_join(F.concat(F.transform("secrets", gap), F.array(rest)), "")
+    return found.withColumn("clean_text", F.when(F.col("n_secrets") > 0, clean).otherwise(F.col("text"))).select(*base.columns, *added)
