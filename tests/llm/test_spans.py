@@ -36,7 +36,7 @@ def test_pii_learns_further_spans(spark):
     known = [f"please call +1 (212) 555-{1000 + i} or mail jo{i}@example.com" for i in range(40)]
     more = ["my phone (212) 555-2187 now", "order no. 219-45-6789 shipped", "ssn 219-45-6781", "mail me: jo.doe [at] example [dot] com", "account DE89 3704 0044 0532 0130 00 please", "version DE88 3704 0044 0532 0130 00 please", "host 2a02:810d:1234::7f", "signed Mrs. Mary Miller", "he lives at 12 Old Mill Road", "wohnt in der Hauptstraße 12, oben", "bare words Of The. And More"]
     got = {x["doc_id"]: x["spans"] for x in pii.find_pii(docs(spark, known + more)).collect()}
-    assert [got[40 + i] for i in range(len(more))] == ["phone:9:23", "", "ssn:4:15", "email:9:38", "iban:8:35", "", "ipv6:5:23", "name:7:23", "address:12:28", "address:13:28", ""]
+    assert [got[40 + i] for i in range(len(more))] == ["phone:9:23", "", "ssn:4:15", "email:9:38", "iban:8:35", "", "ipv6:5:23", "name:7:23", "address:12:28", "address:13:27", ""]
 
 
 def test_pii_reliabilities_are_learnt():

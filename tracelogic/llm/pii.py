@@ -53,12 +53,12 @@ WIDER = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
-    "name": rf"(?<![\w])(?:(?:{TITLES})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)*+|(?:{FIRST_NAMES})(?: \p{{Lu}}\.)? \p{{Lu}}\p{{Ll}}+)(?![\w])",
+    "name": rf"(?=[A-Z])(?<![\w])(?:(?:{TITLES})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)*+|(?:{FIRST_NAMES})(?: \p{{Lu}}\.)? \p{{Lu}}\p{{Ll}}+)(?![\w])",
     "address": rf"(?<![\w])[0-9]{{1,5}}[a-z]?,? (?:\p{{Lu}}[\w']*+ ){{1,4}}(?:{STREETS})(?![\w])|(?<![\w])\p{{Lu}}\p{{Ll}}*(?:straße|strasse|platz|allee|gasse) [0-9]{{1,4}}[a-z]?(?![\w])|(?<![\w])[0-9]{{1,4}},? (?:rue|avenue|boulevard|place|chemin) (?:de |du |des |la |le |l')*\p{{Lu}}[\w'-]*+|(?<![\w])(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo) (?:de |del |la |los )*\p{{Lu}}[\w'-]*+,? [0-9]{{1,4}}(?![\w])",
 }
 WIDER_HINT = {
     "email": r"(?i)[\[({](?:at|@)[\])}]", "phone": r"[0-9][.-][0-9]{4}|(?<![0-9])0(?:[ /-]?[0-9]){8}", "ssn": r"[0-9]-[0-9]{2}-[0-9]", "iban": r"[A-Z]{2}[0-9]{2}[ A-Z0-9]", "ipv6": r"[0-9A-Fa-f]:[0-9A-Fa-f:]",
-    "name": rf"\b(?:{TITLES}|{FIRST_NAMES})\.? \p{{Lu}}", "address": rf"[0-9],? \p{{Lu}}[^\n]*? (?:{STREETS})|(?:straße|strasse|platz|allee|gasse) [0-9]|[0-9],? (?:rue|avenue|boulevard|place|chemin) |(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo) ",
+    "name": rf"(?=[A-Z])(?<![\w])(?:{TITLES}|{FIRST_NAMES})\.? \p{{Lu}}", "address": r"[0-9][a-z]?,? [\p{Lu}rabpc]|\p{L},? [0-9]",
 }
 ORDER = (*KINDS, *(k for k in WIDER if k not in KINDS))
 LABELERS = ("form", "gazetteer", "context", "beside", "made_up")
