@@ -160,6 +160,29 @@ def test_budget_fit_is_exact():
         assert all(0 <= small[k] <= counts[k] for k in small) and 0 <= budget - sum(k * n for k, n in small.items()) <= 40
 
 
+def test_budget_fit_of_large_documents():
+    assert mixing.fit({150001: 1, 149999: 1, 160000: 1}, 300_000) == {150001: 1, 149999: 1, 160000: 0}
+    r = random.Random(8)
+    counts = {r.randint(1, 400_000): r.randint(1, 3) for _ in range(300)}
+    budget = sum(k * n for k, n in counts.items()) * 2 // 3
+    take = mixing.fit(counts, budget)
+    assert all(take[k] <= counts[k] for k in take) and sum(k * n for k, n in take.items()) == budget
+
+
+def test_mixing_of_equal_and_long_rows(spark):
+    rows = [(1, "w " * 7, "a")] * 9 + [(2, "x y z " * 60_000, "b"), (3, "q " * 70_000, "b"), (4, "e " * 110_000, "b"), (None, None, None), (5, "", None), (6, "one", None)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by = {s: [x for x in got if x["source"] == s] for s in ("a", "b", None)}
+    assert len(got) == len(rows) and len(by["a"]) == 9 and len({x["taken"] for x in by["a"]}) <= 2
+    for xs in by.values():
+        whole, want = sum(x["size"] for x in xs), round(xs[0]["target"])
+        reach = {0}
+        for x in xs:
+            reach |= {y + x["size"] for y in reach}
+        passes = want // whole
+        assert sum(x["taken"] for x in xs) == passes * whole + max(y for y in reach if y <= want - passes * whole)
+
+
 def test_quality_counts(spark):
     texts = [*some_texts(40), "a b c d e f g h\n" * 3 + "x $ # |", "u v w x y z a b " * 4, "\n\nfoo\nfoo\n bar"]
     for x in quality.judge(frame(spark, texts)).collect():
