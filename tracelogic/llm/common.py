@@ -16,14 +16,17 @@ U64 = np.uint64
 class Scratch:
     """Parquet tables in the shared folder that ``spark.checkpoint.dir`` names.
 
-    They cut lineage: a lost executor costs a reread, not a recomputation. Where the setting is absent
-    (local tests), a temporary folder is made and set.
+    They cut lineage: a lost executor costs a reread, not a recomputation. Where the setting is absent and the master
+    is local, a temporary folder is made and set; on a cluster, where executors would each write to a disk of their
+    own, that is an error.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.conf.get("spark.master", "local").startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="scratch-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/{uuid.uuid4().hex}"

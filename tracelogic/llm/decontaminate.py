@@ -123,12 +123,13 @@ def extend(index: Index, own: list[bytes], hits: list[tuple[int, int, int]]) ->
     return marked, sorted(names)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (array<string>), hit (array<int>).
 
     Null and empty texts have no words and are clean; so are empty tables. Repeated rows are answered one by one.
     Items whose text is null or has no word occur nowhere; an item_id that repeats counts once. A null item_id is
-    written as an empty string. Extra columns of either table are ignored.
+    written as an empty string. Of docs' other columns those in ``carry`` come along, behind the answer; the rest, and
+    other columns of the benchmark, are ignored.
     """
     spark = docs.sparkSession
     blocks: list[list[tuple[str, str | None]]] = [[]]
@@ -140,7 +141,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
             held = 0
         blocks[-1].append((r["i"], r["text"]))
         held += n
-    source = docs.select("doc_id", "text")
+    along = [f"_c{i}" for i in range(len(carry))]
+    source = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(a) for c, a in zip(carry, along, strict=True)])
+    kinds = "".join(f", {a} {source.schema[a].dataType.simpleString()}" for a in along)
 
     def over(block: list) -> DataFrame:
         held = spark.sparkContext.broadcast(Index(block, window))
@@ -149,20 +152,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
             for b in batches:
                 got = list(scan(held.value, b.column(1)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), *(pa.array([x[i] for x in got], t) for i, t in ((1, pa.int64()), (2, pa.list_(pa.int32())), (3, pa.list_(pa.string()))))],
-                    ["doc_id", "n_words", "hit", "items"],
+                    [b.column(0), *(pa.array([x[i] for x in got], t) for i, t in ((1, pa.int64()), (2, pa.list_(pa.int32())), (3, pa.list_(pa.string())))), *b.columns[2:]],
+                    ["doc_id", "n_words", "hit", "items", *along],
                 )
 
-        return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_words long, hit array<int>, items array<string>")
+        return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_words long, hit array<int>, items array<string>{kinds}")
 
     if len(blocks) == 1:
         found = over(blocks[0])
     else:
-        found = merged(source, [over_block(spark, source, b, window) for b in blocks])
+        found = merged(source, along, [over_block(spark, source, b, window) for b in blocks])
     items = F.array_sort("items")
     return found.select(
         "doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"), items.alias("items"), "hit",
+        *[F.col(a).alias(c) for c, a in zip(carry, along, strict=True)],
     )
 
 
@@ -179,13 +183,20 @@ def over_block(spark, source: DataFrame, block: list, window: int) -> DataFrame:
     return source.select("text").mapInArrow(run, "_text string, _hit array<int>, _items array<string>").dropDuplicates(["_text"])
 
 
-def merged(source: DataFrame, parts: list[DataFrame]) -> DataFrame:
-    """One answer per row from the answers of the blocks."""
+def merged(source: DataFrame, along: list[str], parts: list[DataFrame]) -> DataFrame:
+    """One answer per row from the answers of the blocks.
+
+    What the blocks found, a row for each different text with a hit, is joined by the text's hash; rows without a word
+    are answered without the join, and AQE splits the rows of a text that very many documents share.
+    """
     some = parts[0]
     for p in parts[1:]:
         some = some.unionByName(p)
     some = some.groupBy("_text").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_hit")))).alias("_hit"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"))
     low = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    left = source.select("doc_id", F.regexp_count(low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long").alias("n_words"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text"))
+    n_words = F.regexp_count(low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long")
+    left = source.select("doc_id", n_words.alias("n_words"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text"), *along)
+    # rows without words get keys of their own, so they don't meet in one task
+    left = left.withColumn("_text", F.when(F.col("n_words") > 0, F.col("_text")).otherwise(F.concat(F.lit("none "), F.xxhash64("doc_id").cast("string"))))
     joined = left.join(some, "_text", "left")
-    return joined.select("doc_id", "n_words", F.coalesce("_hit", F.array().cast("array<int>")).alias("hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"))
+    return joined.select("doc_id", "n_words", F.coalesce("_hit", F.array().cast("array<int>")).alias("hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"), *along)

@@ -32,6 +32,8 @@ BANDS = BINS // ROWS
 BLOCK, HELD = 2000, 200
 #: Up to so many candidates are sent to every executor (8 bytes each); more are joined.
 BROADCAST_ROWS = 500_000
+#: Tasks over which the members of one large bucket are dealt.
+SALTS = 32
 EMPTY = np.uint64(1 << 63)
 _rng = np.random.default_rng(20240229)
 #: For each bin, the bins to borrow from, in order.
@@ -94,14 +96,14 @@ def class_of(s: np.ndarray) -> int:
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, key, n, cls, bands) of each row; cls and bands are null for texts without words.
+    """(doc_id, key, text_hash, n, cls, bands) of each row; cls and bands are null for texts without words.
 
     key finds the row again: doc_id, or a hash of the text where that is null.
     """
 
     def run(batches):
         for b in batches:
-            sets = shingle_sets(b.column(2), k)
+            sets = shingle_sets(b.column(3), k)
             full = [i for i, s in enumerate(sets) if len(s)]
             cls: list = [None] * len(sets)
             band: list = [None] * len(sets)
@@ -109,14 +111,14 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 part = full[at : at + 2000]
                 for i, v in zip(part, bands(signatures([sets[i] for i in part])), strict=True):
                     cls[i], band[i] = class_of(sets[i]), v
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "key", "n", "cls", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "key", "text_hash", "n", "cls", "bands"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, key long, n long, cls long, bands array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, key long, text_hash long, n long, cls long, bands array<long>")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     ident = F.col("doc_id").cast("long")
-    return docs.select(ident.alias("doc_id"), F.coalesce(ident, F.xxhash64("text")).alias("key"), "text")
+    return docs.select(ident.alias("doc_id"), F.coalesce(ident, F.xxhash64("text")).alias("key"), F.xxhash64("text").alias("text_hash"), "text")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -180,12 +182,14 @@ def star_rows(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, pairs_up_to: int = 32) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept.
+    """Per row of docs: doc_id, n_shingles, component_id, kept, text_hash, chosen.
 
     Null and empty texts, and texts of white space, have no shingles and are linked with nothing; they are kept, with
     their own doc_id as component. Texts of fewer than k words are linked only if their words are equal. A null doc_id
     is never a component's smallest while another is there; a component of null ids alone has a null component_id and
-    kept is true. Rows that repeat a doc_id count as one document. Extra columns are ignored; empty tables give none.
+    kept is true. Different texts under one doc_id are compared each by itself. ``chosen`` holds for one text of each
+    component: of those with the component's doc_id the one with the smallest text_hash (xxhash64). Rows that repeat
+    doc_id and text are answered alike. Extra columns are ignored; empty tables give none.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -212,7 +216,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, pairs_up_to:
     large = mixed.where(F.col("n") > pairs_up_to)
     queries = large.where("comp <> main")
     turns = queries.groupBy("h").agg(F.ceil(F.count("*") / HELD).alias("turns"))
-    large = large.join(turns, "h").withColumn("blocks", F.expr("ceil(n / %d)" % BLOCK))
+    # a large bucket's members stay dealt over many tasks: what is joined to them is repeated for each salt
+    turns = turns.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    large = large.withColumn("salt", F.expr(f"pmod(xxhash64(cls, 3), {SALTS})")).join(turns, ["h", "salt"]).withColumn("blocks", F.expr("ceil(n / %d)" % BLOCK))
     asked = large.where("comp <> main").select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.expr("pmod(xxhash64(cls, 1), turns)").alias("turn"), F.lit(0).alias("held"), "comp", "cls")
     all_of = large.select("h", F.expr("pmod(xxhash64(cls, 2), blocks)").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), F.lit(1).alias("held"), "comp", "cls")
     blocks = asked.unionByName(all_of).join(sets, "cls").select(F.col("h").alias("grp"), F.expr("block * 1000000007 + turn").alias("part"), "held", "comp", "cls", "set")
@@ -221,7 +227,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, pairs_up_to:
         roots = scratch.save(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch))
     owner = classes.select("cls", "doc_id").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
     least = owner.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    answer = scratch.save(owner.join(least, "root").select("cls", "component_id"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(answer, "cls", "left")
+    answer = scratch.save(owner.join(least, "root").select("cls", "root", "component_id"))
+    found = rows.select("doc_id", F.col("n").alias("n_shingles"), "text_hash", "cls").join(answer, "cls", "left")
+    # the smallest text_hash of a component, pre-aggregated in each task
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = found.where(own & F.col("root").isNotNull()).groupBy("root").agg(F.min("text_hash").alias("_first"))
+    out = found.join(first, "root", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(component)
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash", (kept & (F.col("cls").isNull() | (F.col("text_hash") == F.col("_first")))).alias("chosen"))

@@ -33,7 +33,7 @@ def op7_mixing(spark, sf_dir):
 
 
 def op9_minhash(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op10_chunk_dedup(spark, sf_dir):
