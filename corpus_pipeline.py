@@ -31,19 +31,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest doc_id.
 
-    A null doc_id is compared as null. Where rows repeat a doc_id, one of them stays.
+    Rows are found again by doc_id and text hash, so each row follows its own verdict: null ids and different texts
+    under one doc_id are documents like others. Of rows that repeat both, one stays; texts without words are linked
+    with nothing and all stay.
     """
     docs = docs.select(*COLUMNS)
-    found = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    found = near_duplicates(docs).where("chosen").groupBy("doc_id", "text_hash").agg(F.count("*").alias("_n"), F.max("n_shingles").alias("_shingles"))
+    found = Scratch(spark).save(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), ((F.col("_n") > 1) & (F.col("_shingles") > 0)).alias("_repeats")))
+    kept = docs.withColumn("_text", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
+    if not found.where("_repeats").isEmpty():
+        kept = kept.where(~F.col("_repeats")).unionByName(kept.where("_repeats").dropDuplicates(["doc_id", "_text"]))
+    return kept.select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
-    docs = docs.select(*COLUMNS)
-    bad = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_id"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """Documents without a benchmark window; each row, whatever its doc_id, by its own text."""
+    rest = tuple(c for c in COLUMNS if c != "doc_id")
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=rest).where("not contaminated").select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
