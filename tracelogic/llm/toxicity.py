@@ -1,13 +1,16 @@
 """Toxicity scores from a counterfactual-regularised linear classifier.
 
 Features are the presence of words and of word beginnings (4, 5 and 6 bytes), as hashes. A logistic regression is
-fitted on a bounded sample of labelled rows. For sentences of that sample that name a group of people, the name is
-swapped for others of its kind, and squared changes of the score are added to the loss; so names of groups get nearly
-equal weights, and neutral mentions don't look toxic because of the name.
+fitted on a bounded sample of labelled rows. In each sentence of that sample that names a group of people, the name is
+swapped for each other of its kind, the sentence is scored again, and the squared change of the score is added to the
+loss; so a sentence's score comes from what it says and not from whom it names. Sentences are split at . ! ? and line
+ends, so a text gives one pair for each sentence, name and replacement.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +40,7 @@ IDENTITY = (
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = LETTER[128:] = True
 BEGINNINGS = (4, 5, 6)
+NAME = re.compile(r"[^\W\d_]+")
 
 
 def features(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +84,27 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def identity_features() -> list[list[np.ndarray]]:
-    return [[word_features(t) for t in g.split()] for g in IDENTITY]
+SENTENCE = re.compile(r"[.!?\n]+")
+
+
+def swaps(text: str, groups: tuple[str, ...]) -> list[tuple[str, str]]:
+    """(sentence, the same with one name swapped) for each sentence, name in it and other name of its group."""
+    others = {t: [x for x in g.split() if x != t] for g in groups for t in g.split()}
+    out = []
+    for sentence in SENTENCE.split(text.lower()):
+        own = NAME.findall(sentence)
+        for name in sorted(set(own) & others.keys()):
+            out += [(sentence, re.sub(rf"(?<![^\W\d_]){re.escape(name)}(?![^\W\d_])", other, sentence)) for other in others[name]]
+    return out
+
+
+def sentence_features(sentence: str) -> np.ndarray:
+    raw = LOWER[np.frombuffer(sentence.encode("utf-8", "surrogatepass"), np.uint8)]
+    return np.unique(features(raw, np.array([0, len(raw)]))[1])
+
+
+def identity_features(groups: tuple[str, ...]) -> list[int]:
+    return sorted({int(x) for g in groups for t in g.split() for x in word_features(t).view(np.int64)})
 
 
 def constant(positive: int, total: int) -> Model:
@@ -90,31 +113,28 @@ def constant(positive: int, total: int) -> Model:
     return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(rate / (1 - rate))) if total else -5.0)
 
 
-def train(y: np.ndarray, row: np.ndarray, code: np.ndarray, keys: np.ndarray, swap_penalty: float = 1.0, l2: float = 1e-4, steps: int = 250) -> Model:
-    """Fit on labels y and the (row, code) pairs of features present; keys are the sorted feature hashes that codes index."""
-    # score changes of swaps: one row for each ordered pair of names, by how many labelled texts hold the first
-    index = {int(k): i for i, k in enumerate(keys)}
-    seen = np.bincount(code, minlength=len(keys))
-    swaps = []
-    for g in identity_features():
-        for a in g:
-            n = seen[index[int(a[0])]] if int(a[0]) in index else 0
-            for b in g:
-                if n and b is not a:
-                    delta = np.zeros(len(keys))
-                    for f, sign in ((a, -1.0), (b, 1.0)):
-                        for x in f.tolist():
-                            if x in index:
-                                delta[index[x]] += sign
-                    swaps.append(delta * np.sqrt(n / len(y)))
-    change = np.array(swaps) if swaps else np.zeros((0, len(keys)))
+def train(y: np.ndarray, row: np.ndarray, code: np.ndarray, keys: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], swap_penalty: float = 1.0, l2: float = 1e-4, steps: int = 250) -> Model:
+    """Fit on labels y and the (row, code) pairs of features present; keys are the sorted feature hashes that codes index.
+
+    pairs are the codes of a sentence and of its counterfactual. The penalty is the mean squared change of their logits,
+    as many times as the classifier's own loss counts.
+    """
+    # what a swap adds and takes away, as (pair, code, sign)
+    change = [(np.setdiff1d(b, a), np.setdiff1d(a, b)) for a, b in pairs]
+    at = np.repeat(np.arange(len(pairs)), [len(p) + len(m) for p, m in change])
+    moved = np.concatenate([np.concatenate(x) for x in change]).astype(np.int64) if pairs else np.zeros(0, np.int64)
+    sign = np.concatenate([np.repeat([1.0, -1.0], [len(p), len(m)]) for p, m in change]) if pairs else np.zeros(0)
     # Adam on the whole sample
     w, bias = np.zeros(len(keys)), float(np.log(y.mean() / (1 - y.mean())))
     m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     for t in range(1, steps + 1):
         z = np.bincount(row, w[code], len(y)) + bias
         r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        grad = np.append(np.bincount(code, r[row], len(keys)) + l2 * w + 2 * swap_penalty * change.T @ (change @ w), r.sum())
+        grad = np.bincount(code, r[row], len(keys)) + l2 * w
+        if len(pairs) and swap_penalty:
+            delta = np.bincount(at, sign * w[moved], len(pairs))
+            grad = grad + np.bincount(moved, 2 * swap_penalty / len(pairs) * sign * delta[at], len(keys))
+        grad = np.append(grad, r.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
@@ -125,10 +145,11 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, n_features: int = 6000, **params) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, n_features: int = 6000, groups: tuple[str, ...] = IDENTITY, n_swaps: int = 50_000, **params) -> Model:
     """Train on at most ``sample`` labelled documents, the first by a hash of doc_id; held-out ones never.
 
-    Features are counted and chosen in Spark; the driver gets the chosen ones and their numbers in each document.
+    Features are counted and chosen in Spark; the driver gets the chosen ones, their numbers in each document, and of
+    the sample's sentence swaps the ``n_swaps`` first by a hash. ``groups`` are lists of interchangeable names.
     """
     scratch = Scratch(docs.sparkSession)
     ids = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -154,27 +175,43 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, n_features: in
     # likelihood ratios; what may as well be chance (p > 0.001) is left out
     part = lambda n, q: F.when(n > 0, n * F.log(n / (F.col("n") * q))).otherwise(0.0)
     counts = counts.withColumn("gain", 2 * (part(F.col("n1"), share) + part(F.col("n") - F.col("n1"), 1 - share)))
-    names = sorted({int(x) for g in identity_features() for f in g for x in f.view(np.int64)})
+    names = identity_features(groups)
     kept = counts.where((F.col("gain") >= 10.83) & ~F.col("f").isin(names)).orderBy(F.desc("gain"), "f").limit(n_features).select("f")
     chosen = [r["f"] for r in kept.unionByName(counts.where(F.col("f").isin(names)).select("f")).collect()]
     keys = np.sort(np.array(chosen, np.int64).view(np.uint64))
     held = docs.sparkSession.sparkContext.broadcast(keys)
 
+    def codes_of(f: np.ndarray) -> np.ndarray:
+        if not len(held.value):
+            return np.zeros(0, np.int32)
+        at = np.searchsorted(held.value, f)
+        at[at == len(held.value)] = 0
+        return at[held.value[at] == f].astype(np.int32)
+
+    def swapped(batches):
+        for b in batches:
+            out = []
+            for text in b.column(0).to_pylist():
+                for pair in swaps(text or "", groups):
+                    a, c = (codes_of(sentence_features(x)).tobytes() for x in pair)
+                    out.append((a, c, hashlib.blake2b("\0".join(pair).encode("utf-8", "surrogatepass"), digest_size=8).digest()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in range(3)], ["a", "b", "h"])
+
     def coded(batches):
         for b in batches:
             out = []
             for x in b.column(1):
-                f = x.values.to_numpy().view(np.uint64)
-                at = np.searchsorted(held.value, f)
-                at[at == len(held.value)] = 0
-                out.append(at[held.value[at] == f].astype(np.int32).tobytes() if len(held.value) else b"")
+                out.append(codes_of(x.values.to_numpy().view(np.uint64)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["toxic", "f"])
 
     got = seen.mapInArrow(coded, "toxic int, f binary").collect()
     codes = [np.frombuffer(r["f"], np.int32) for r in got]
     scratch.drop(seen)
     y = np.array([float(r["toxic"]) for r in got])
-    return train(y, np.repeat(np.arange(len(y)), [len(c) for c in codes]), np.concatenate(codes), keys, **params)
+    named = rows.where(F.regexp_like(F.lower("text"), F.lit(r"(?<!\p{L})(?:" + "|".join(t for g in groups for t in g.split()) + r")(?!\p{L})"))).select("text")
+    pairs = named.mapInArrow(swapped, "a binary, b binary, h binary").orderBy("h", "a", "b").limit(n_swaps).collect() if groups else []
+    pairs = [(np.frombuffer(r["a"], np.int32), np.frombuffer(r["b"], np.int32)) for r in pairs]
+    return train(y, np.repeat(np.arange(len(y)), [len(c) for c in codes]), np.concatenate(codes), keys, pairs, **params)
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 20_000, **params) -> DataFrame:
