@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tracelogic.llm import html_text, minhash, mixing, pii, quality, secrets, suffix_dedup, toxicity
+from tracelogic.llm import minhash, mixing, pii, quality, secrets, suffix_dedup, toxicity
 from tracelogic.llm.chunk_dedup import remove_chunks
 from tracelogic.llm.decontaminate import decontaminate
 
@@ -280,37 +280,6 @@ def test_toxicity_held_out(spark):
     assert all(x["predicted"] == 0 for x in toxicity.score(docs, truth.limit(0)).collect())
 
 
-def test_html():
-    page = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/">Home</a></ul></nav><div class="cookie-notice">We use cookies</div>
-    <article><h1>Title &amp; more</h1><p>First <b>bold
-    text<br>here.<p>Second&nbsp;para.</p><form><input><label>Search</label></form></article><aside>Also read this</aside><section id="comments"><p>Nice post! I really liked this very long comment here.</p></section><footer>&copy; x</footer></body></html>"""
-    assert html_text.main_text(page) == "Title & more\n\nFirst bold text here.\n\nSecond para."
-    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x</nav>") == ""
-    assert html_text.main_text("just text") == "just text"
-
-
-LONG = " ".join(f"sentence number {i} of the text." for i in range(40))
-
-
-@pytest.mark.parametrize(
-    ("body", "want"),
-    [
-        (f"<div id=content><h1>Head</h1><p class=lede>Lede.</p><div class=body><p>{LONG}</p><p>{LONG}</p></div></div>", ["Head", "Lede.", LONG, LONG]),
-        (f"<div id=content><div class=body>{f'<p>{LONG}</p>' * 12}</div><div class=more><p>{LONG}</p></div></div>", [LONG] * 13),
-        (f"<div id=page><ul><li><a href=/>Home</a></li></ul><div class=top><h1>Head</h1></div><div class=body><p>{LONG}</p><p>Short.</p></div><ul><li><a href=/x>Next</a></li></ul></div>", ["Head", LONG, "Short."]),
-        (f"<main><h1>Day</h1><article><p>{LONG}</p><p>{LONG}</p></article><article><p>{LONG}</p></article></main>", ["Day", LONG, LONG, LONG]),
-        (f"<h1>Day</h1><article><p>{LONG}</p><p>{LONG}</p></article><article><h2>B</h2><p>{LONG}</p></article>", ["Day", LONG, LONG, "B", LONG]),
-        (f"<article><p>{LONG}</p><p>{LONG}</p></article><div><h2>Second</h2><p>{LONG}</p></div>", [LONG, LONG, "Second", LONG]),
-        (f"<div class='content has-sidebar'><p>{LONG}</p></div><div class=sidebar><p>{LONG}</p></div>", [LONG]),
-        (f"<div class='layout no-sidebar'><p>{LONG}</p></div><div class='site-header'><p>{LONG}</p></div>", [LONG]),
-        (f"<article><div class=entry-header><h1>Head</h1></div><p>{LONG}</p></article>", ["Head", LONG]),
-        (f"<div><div class=entry-header><h1>Head</h1></div><div><p>{LONG}</p></div></div>", ["Head", LONG]),
-    ],
-)
-def test_html_layouts(body, want):
-    assert html_text.main_text(f"<html><body><nav><a href=/>Home</a></nav>{body}<footer>Footer</footer></body></html>").split("\n\n") == want
-
-
 def test_empty_tables(spark):
     none = frame(spark, [""]).limit(0)
     labels = spark.createDataFrame([], "doc_id long, toxic int")

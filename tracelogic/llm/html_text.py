@@ -1,13 +1,16 @@
 """Main text of web pages from parser events and text-to-tag ratios.
 
 The standard library's streaming parser gives events. Text between block-level tags is a line; a line's ratio is its
-characters over its tags, links weighing against it. Ratios are smoothed with a Gaussian over neighbouring lines, and
-lines at or above the standard deviation are content. The region is the smallest element that holds all content lines,
-or the article or main element around it; where articles that aren't in one main element hold most of the content, they
-are joined, and content outside them is kept line by line. Headings and paragraphs beside the region stay. Of the
-region, every line stays but those in elements that by tag, role, class or id are menus, headers of the site, footers,
-sidebars, notices, adverts, forms or reader comments; so short paragraphs and headings of an article aren't lost to the
-threshold.
+characters over its tags, links weighing against it. Ratios are smoothed with a Gaussian over neighbouring lines. Each
+line is a point: its smoothed ratio, and by how much the lines after it differ from it. Points are clustered with one
+cluster held at the origin; lines of the other clusters are content. The region is the smallest element that holds all
+content lines, or the article or main element around it; where articles that aren't in one main element hold most of
+the content, they are joined, and content outside them is kept line by line. Headings and paragraphs beside the region
+stay, and so do the short lines inside it.
+
+Menus, footers, sidebars, forms and the like go by tag and role. Class names and ids only support the ratios: an
+element with such a name goes if its text isn't content or is mostly links; if the whole name says so (comments,
+cookie-notice) it goes in any case, unless it holds most of the page's text or its title.
 """
 
 from __future__ import annotations
@@ -30,20 +33,37 @@ DROPPED = frozenset("head script style noscript template nav footer aside form b
 #: A start tag that ends an open element of the second kind.
 CLOSES = {**dict.fromkeys(BLOCK - {"li", "dd", "dt", "td", "th", "tr"}, ("p",)), "li": ("p", "li"), "dd": ("p", "dd", "dt"), "dt": ("p", "dd", "dt"), "td": ("p", "td", "th"), "th": ("p", "td", "th"), "tr": ("p", "td", "th", "tr")}
 SCOPE = frozenset("table ul ol dl div article section main body td th blockquote aside nav header footer form".split())
-NAMED = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment\w*|consent|cookies?|copyright|disqus|footer|gdpr|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|"
-    r"pagination|pager|popup|promo\w*|recommend\w*|related|replies|respond|share|sharing|sidebar|side-bar|skip|social|sponsor\w*|subscribe|toolbar|topbar|widget)(?:$|[-_\s\d])",
-    re.I,
+#: Inside head; any other start tag ends it.
+HEAD = frozenset("base link meta noscript script style template title".split())
+#: What class names and ids of other parts than the article are made of, what may stand beside it in
+#: a name that says so as a whole, and what says that a part is beside an element or open, not what the element is.
+NAMED = frozenset(
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice "
+    "pagination pager popup promo promos promotion recommended recommendations related replies respond share sharing sidebar skip social sponsor sponsored sponsors subscribe toolbar topbar widget".split()
 )
-#: Headers of the site, but not those of an entry.
-HEADER = re.compile(r"(?:^|\s|(?<!entry)(?<!post)(?<!article)(?<!content)(?<!story)(?<!page)(?<!section)[-_])(?:header|masthead)(?:$|[-_\s\d])", re.I)
-#: has-sidebar and the like say what is beside or in an element, not what it is.
-MODIFIER = re.compile(r"(?:(?<=\s)|(?<=[-_])|^)(?:has|have|no|not|with|without)[-_]\S*", re.I)
+AROUND = frozenset("area bar block bottom box container footer global header inner left link links list main page primary right secondary section site slot thread top unit wrap wrapper web".split())
+MODIFIER = re.compile(r"(?:^|(?<=[-_]))(?:has|have|no|not|with|without|open|closed|enabled|disabled|on|off)(?:$|[-_])")
+#: Headers are the site's unless they are an entry's.
+ENTRY = frozenset("entry post article content story section".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACE = re.compile(r"\s+")
 
 
+def named(tokens: str, inside: bool) -> int:
+    """2 where a class name or id as a whole names another part than the article, 1 where it has such a word, else 0."""
+    found = 0
+    for token in tokens.lower().split():
+        if MODIFIER.search(token):
+            continue
+        parts = [re.sub(r"\d+$", "", x) for x in re.split(r"[-_]+", token)]
+        header = not inside and not ENTRY.intersection(parts) and ("header" in parts)
+        hits = [x for x in parts if x in NAMED] + ["header"] * header
+        if hits:
+            found = max(found, 2 if all(x in NAMED or x in AROUND or not x for x in parts) else 1)
+    return found
+
+
 class Lines(HTMLParser):
     """Collects lines outside dropped elements: (text, tags, link characters, elements that hold it)."""
 
@@ -52,6 +72,7 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
         self.open: list[tuple[str, int, bool]] = []  # tag, number, dropped
         self.kind: list[str] = []  # tag of each element number
+        self.names: dict[int, int] = {}  # elements whose names speak against them, and how much
         self.text: list[str] = []
         self.tags = self.links = 0
 
@@ -62,7 +83,7 @@ class Lines(HTMLParser):
         self.text, self.tags, self.links = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
-        if tag == "body":
+        if tag == "body" or tag not in HEAD and any(t == "head" for t, _, _ in self.open):
             while self.open and self.open[-1][0] != "html":
                 self.open.pop()
         if tag in BLOCK:
@@ -83,14 +104,10 @@ class Lines(HTMLParser):
         inside = any(t in ("article", "main") for t, _, _ in self.open)
         if not dropped and tag not in ("html", "body"):
             a = dict(attrs)
-            names = MODIFIER.sub("", f"{a.get('class') or ''} {a.get('id') or ''}")
-            dropped = (
-                tag in DROPPED
-                or (tag == "header" and not inside)
-                or (a.get("role") or "").lower() in ROLES
-                or "hidden" in a
-                or (tag not in ("article", "main") and tag not in HEADING and bool(NAMED.search(names) or (not inside and HEADER.search(names))))
-            )
+            dropped = tag in DROPPED or (tag == "header" and not inside) or (a.get("role") or "").lower() in ROLES or "hidden" in a
+            against = named(f"{a.get('class') or ''} {a.get('id') or ''}", inside)
+            if against and tag not in ("article", "main") and tag not in HEADING:
+                self.names[len(self.kind)] = against
         self.open.append((tag, len(self.kind), dropped))
         self.kind.append(tag)
 
@@ -123,6 +140,57 @@ def smooth(values: list[float], sigma: float = 1.0, radius: int = 2) -> list[flo
     return out
 
 
+def ratios(lines: list) -> list[float]:
+    """Text-to-tag ratios."""
+    return [max(0, len(t) - links) / max(1, tags) for t, tags, links, _ in lines]
+
+
+def cluster(raw: list[float], ahead: int = 3, rounds: int = 20) -> tuple[list[bool], list[bool]]:
+    """Which lines are content, and which of them by their own ratio too, not only by that of their neighbours.
+
+    k-means over (smoothed ratio, change), where one of three centres stays at the origin and isn't content.
+    """
+    n, ratio = len(raw), smooth(raw)
+    change = smooth([abs(sum(ratio[i : i + ahead + 1]) / len(ratio[i : i + ahead + 1]) - ratio[i]) for i in range(n)])
+    points = list(zip(ratio, change, strict=True))
+    centres = [(0.0, 0.0), (max(ratio), 0.0), (sum(ratio) / n, max(change))]
+    nearest = lambda r, d: min(range(3), key=lambda c: (r - centres[c][0]) ** 2 + (d - centres[c][1]) ** 2)
+    own: list[int] = []
+    for _ in range(rounds):
+        now = [nearest(r, d) for r, d in points]
+        if now == own:
+            break
+        own = now
+        for c in (1, 2):
+            held = [p for p, o in zip(points, own, strict=True) if o == c]
+            if held:
+                centres[c] = (sum(p[0] for p in held) / len(held), sum(p[1] for p in held) / len(held))
+    return [o > 0 for o in own], [o > 0 and nearest(x, 0.0) > 0 for o, x in zip(own, raw, strict=True)]
+
+
+def against(lines: list, content: list[bool], names: dict[int, int], kind: list[str]) -> set[int]:
+    """Elements that go by their names."""
+    mass: dict[int, list[int]] = {e: [0, 0, 0, 0] for e in names}  # text, links, content, titles
+    whole, marked = 0, {e: 0 for e in names}  # text in article or main elements elsewhere
+    for (text, _, links, path), c in zip(lines, content, strict=True):
+        whole += len(text) - links
+        if any(kind[n] in ("article", "main") for n in path):
+            for e in names:
+                marked[e] += 0 if e in path else len(text) - links
+        for n in path:
+            if n in mass:
+                m = mass[n]
+                m[0], m[1], m[2] = m[0] + len(text), m[1] + links, m[2] + (len(text) - links if c else 0)
+                m[3] += any(kind[x] == "h1" for x in path)
+    out = set()
+    for e, (text, links, held, titles) in mass.items():
+        if titles or (2 * (text - links) > whole and not marked[e]):
+            continue
+        if names[e] == 2 or 3 * links >= text or 2 * held < text:
+            out.add(e)
+    return out
+
+
 def region(lines: list, content: list, kind: list[str]) -> list[bool]:
     """Which lines are of the region of ``content``, or beside it."""
     weigh = lambda xs: sum(max(0, len(x[0]) - x[2]) for x in xs)
@@ -191,10 +259,13 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratio = smooth([max(0, len(t) - links) / max(1, tags) for t, tags, links, _ in lines])
-    mean = sum(ratio) / len(ratio)
-    threshold = math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))
-    content = [x for x, r in zip(lines, ratio, strict=True) if r >= threshold] or lines
+    content, sure = cluster(ratios(lines))
+    gone = against(lines, content, parser.names, parser.kind)
+    left = [(x, c, s) for x, c, s in zip(lines, content, sure, strict=True) if gone.isdisjoint(x[3])]
+    lines = [x for x, _, _ in left]
+    if not lines:
+        return ""
+    content = [x for x, _, s in left if s] or [x for x, c, _ in left if c] or lines
     # lines of links alone have no mass of their own
     keep = region(lines, [x for x in content if len(x[0]) > x[2]] or content, parser.kind)
     return "\n\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
