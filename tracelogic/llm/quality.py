@@ -1,18 +1,22 @@
 """Quality rules: hard limits, then robust multivariate outliers.
 
 Each text gives a vector of transformed shares. For each language and source a minimum-covariance-determinant estimate
-is made by concentration steps over all rows: the mean and covariance of the ``core`` share of rows with the smallest
-distances, again and again from a start at medians. Rows farther than ``cut`` (squared Mahalanobis distance, scaled so
-that the median is that of a chi-square) are rejected. All per-row work is DataFrame expressions; the driver sees
-sums and distance histograms per group only, and inverts the group matrices.
+is made over all rows: from several starts (medians and median deviations, and seeded random subsets) concentration
+steps take the mean and scatter of the ``core`` share of rows with the smallest distances; after two steps the start
+with the smallest determinant goes on until the determinant no longer falls. FLOORS, the squares of the least standard
+deviations that the parts are taken to have, are added to each scatter, so parts that hardly vary don't make it
+singular (a regularised estimate with a diagonal target). Distances are scaled so that their median is that of a
+chi-square, and rows beyond its upper ``reject`` quantile are rejected.
+
+Everything is DataFrame expressions, the factorisation of the group matrices too; groups and their estimates are
+tables, and only one row of sums comes to the driver after each step.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
+from statistics import NormalDist
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +30,9 @@ MARKS = "!?;:\"'()[]{}=+_/\\~^@`"
 DIGITS = "0123456789"
 #: The vector's parts and the least standard deviation that each is taken to have.
 PARTS = {"v_word": 0.15, "v_symbol": 0.05, "v_upper": 0.06, "v_mark": 0.05, "v_digit": 0.08, "v_stutter": 0.06}
-#: Histogram cells of a squared distance, for each factor of e.
-CELLS = 64
+P = len(PARTS)
+#: Up to so many groups, of about 300 bytes, are sent to every executor; more are joined.
+BROADCAST_ROWS = 100_000
 
 
 def repeated_words(words: Column, window: int) -> Column:
@@ -81,96 +86,112 @@ def statistics(docs: DataFrame, window: int = 8) -> DataFrame:
     )
 
 
-def chi_square_median(p: int) -> float:
-    return p * (1 - 2 / (9 * p)) ** 3
+def chi_square(p: int, share: float) -> float:
+    """Quantile of a chi-square with p degrees of freedom (Wilson and Hilferty)."""
+    return p * (1 - 2 / (9 * p) + NormalDist().inv_cdf(share) * (2 / (9 * p)) ** 0.5) ** 3
 
 
-def distances(rows: DataFrame, found: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """rows with d2, by each group's mean and inverse scatter."""
+def joined(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, on, how)
+
+
+def whitened(rows: DataFrame) -> DataFrame:
+    """rows (with m and l) with d2. Each coordinate is a column of its own, so expressions don't double in size."""
+    for i, c in enumerate(PARTS):
+        at = i * (i + 1) // 2
+        rest = reduce(lambda a, j: a - F.get("l", F.lit(at + j)) * F.col(f"z{j}"), range(i), F.col(c) - F.get("m", F.lit(i)))  # noqa: B023
+        rows = rows.withColumn(f"z{i}", rest / F.get("l", F.lit(at + i)))
+    return rows.withColumn("d2", reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)])).drop(*[f"z{i}" for i in range(P)], "m", "l")
+
+
+def factored(moments: DataFrame) -> DataFrame:
+    """(g, s, m, l, logdet) from (g, s, n, sums x_i, sums of products x_i_j)."""
+    out = moments
+    for i in range(P):
+        out = out.withColumn(f"m{i}", F.col(f"x_{i}") / F.col("n"))
+    floor = list(PARTS.values())
+    for i in range(P):
+        for j in range(i + 1):
+            cov = F.greatest(F.lit(0.0), F.col(f"x_{j}_{i}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + floor[i] ** 2 if i == j else F.col(f"x_{j}_{i}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
+            rest = reduce(lambda a, k: a - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}"), range(j), cov)  # noqa: B023
+            # rounding can't take a pivot below its floor by much
+            out = out.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(floor[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}_{j}"))
+    logdet = reduce(lambda a, b: a + b, [2 * F.log(F.col(f"l{i}_{i}")) for i in range(P)])
+    return out.select("g", "s", F.array(*[f"m{i}" for i in range(P)]).alias("m"), F.array(*[f"l{i}_{j}" for i in range(P) for j in range(i + 1)]).alias("l"), logdet.alias("logdet"))
+
+
+def moments() -> list[Column]:
+    names = list(PARTS)
+    return [F.count("*").alias("n")] + [F.sum(c).alias(f"x_{i}") for i, c in enumerate(names)] + [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"x_{i}_{j}") for i in range(P) for j in range(i, P)]
+
+
+def starts(rows: DataFrame, number: int, size: int) -> DataFrame:
+    """Start 0: medians and median deviations. Others: about ``size`` rows of the group, by a seeded hash."""
     names = list(PARTS)
-    p = len(names)
-    table = rows.sparkSession.createDataFrame([(g, [float(v) for v in m], [float(v) for v in s.ravel()]) for g, (m, s) in found.items()], "_g int, _m array<double>, _s array<double>")
-    joined = rows.join(F.broadcast(table) if len(found) <= 100_000 else table, F.col("g") == F.col("_g"), "left")
-    x = [F.col(c) - F.get("_m", F.lit(i)) for i, c in enumerate(names)]
-    terms = [x[i] * x[j] * F.get("_s", F.lit(i * p + j)) * (1 if i == j else 2) for i in range(p) for j in range(i, p)]
-    return joined.withColumn("d2", F.greatest(F.lit(0.0), F.coalesce(reduce(lambda a, b: a + b, terms), F.lit(0.0)))).drop("_g", "_m", "_s")
-
-
-def quantiles(rows: DataFrame, share: float) -> dict[int, tuple[int, float]]:
-    """Of each group the histogram cell that holds the share of smallest d2, and its upper edge."""
-    cell = F.floor(F.log(F.col("d2") + 1e-9) * CELLS).cast("int")
-    hist: dict[int, list[tuple[int, int]]] = {}
-    for r in rows.groupBy("g", cell.alias("c")).agg(F.count("*").alias("n")).collect():
-        hist.setdefault(r["g"], []).append((r["c"], r["n"]))
-    out = {}
-    for g, cells in hist.items():
-        need, at = math.ceil(share * sum(n for _, n in cells)), 0
-        for c, n in sorted(cells):
-            at += n
-            if at >= need:
-                out[g] = (c, math.exp((c + 1) / CELLS))
-                break
-    return out
-
-
-def estimate(rows: DataFrame, core: float, steps: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Mean and inverse scatter of each group, by concentration steps."""
-    names, p = list(PARTS), len(PARTS)
-    floor = np.array(list(PARTS.values())) ** 2
-    middle = rows.groupBy("g").agg(*[F.percentile_approx(c, 0.5, 10_000).alias(c) for c in names]).collect()
-    found = {r["g"]: (np.array([r[c] for c in names]), np.diag(1 / floor)) for r in middle}
-    moments = [F.sum(c).alias(c) for c in names] + [F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[i:]]
+    middle = rows.groupBy("g").agg(F.count("*").alias("rows"), F.array(*[F.percentile_approx(c, 0.5, 10_000) for c in names]).alias("middle"))
+    near = joined(rows, middle, ["g"])
+    spread = near.groupBy("g").agg(F.first("middle").alias("m"), *[F.percentile_approx(F.abs(F.col(c) - F.get("middle", F.lit(i))), 0.5, 10_000).alias(f"d{i}") for i, c in enumerate(names)])
+    sd = [F.sqrt((1.4826 * F.col(f"d{i}")) ** 2 + w * w) for i, w in enumerate(PARTS.values())]
+    diagonal = F.array(*[sd[i] if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)])
+    first = spread.select("g", F.lit(0).alias("s"), F.col("m"), diagonal.alias("l"), F.lit(None).cast("double").alias("logdet"))
+    if number < 2:
+        return first
+    dealt = near.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(number - 1))))
+    drawn = dealt.where(F.pmod(F.xxhash64("s", *names), F.greatest(F.lit(1), (F.col("rows") / size).cast("long"))) == 0)
+    return first.unionByName(factored(drawn.groupBy("g", "s").agg(*moments())))
+
+
+def concentrated(rows: DataFrame, found: DataFrame, core: float) -> DataFrame:
+    """Estimates from the ``core`` share of rows that are nearest by the estimates ``found``."""
+    measured = whitened(joined(rows, found.drop("logdet"), ["g"]))
+    edge = measured.groupBy("g", "s").agg(F.percentile_approx("d2", core, 10_000).alias("edge"))
+    return factored(joined(measured, edge, ["g", "s"]).where("d2 <= edge").groupBy("g", "s").agg(*moments()))
+
+
+def estimate(rows: DataFrame, core: float, scratch: Scratch, number: int = 4, size: int = 60, steps: int = 30) -> DataFrame:
+    """(g, m, l, logdet) of each group of rows (g and PARTS)."""
+    found = scratch.save(starts(rows, number, size))
+    for _ in range(2):
+        found = scratch.save(concentrated(rows, found, core))
+    best = found.groupBy("g").agg(F.min_by(F.struct("s", "m", "l", "logdet"), F.struct("logdet", "s")).alias("b")).select("g", "b.*")
+    best = scratch.save(best)
     for _ in range(steps):
-        measured = distances(rows, found)
-        edges = quantiles(measured, core)
-        table = rows.sparkSession.createDataFrame([(g, e) for g, (_, e) in edges.items()], "_g int, _e double")
-        near = measured.join(F.broadcast(table) if len(edges) <= 100_000 else table, F.col("g") == F.col("_g")).where("d2 + 1e-9 < _e")
-        old, found = found, {}
-        for r in near.groupBy("g").agg(F.count("*").alias("n"), *moments).collect():
-            mean = np.array([r[c] for c in names]) / r["n"]
-            cov = np.zeros((p, p))
-            for i, a in enumerate(names):
-                for j in range(i, p):
-                    cov[i, j] = cov[j, i] = r[f"{a}_{names[j]}"] / r["n"] - mean[i] * mean[j]
-            found[r["g"]] = (mean, np.linalg.inv(cov + np.diag(floor)))
-        if all(np.allclose(found[g][0], old[g][0], atol=1e-4) for g in found):
+        then = scratch.save(concentrated(rows, best, core))
+        gain = best.select("g", F.col("logdet").alias("was")).join(then, "g").agg(F.max(F.col("was") - F.col("logdet"))).first()[0]
+        scratch.drop(best)
+        best = then
+        if gain is None or gain < 1e-4:
             break
-    final = quantiles(distances(rows, found), 0.5)
-    # never let a tight half shrink the scale below the floors
-    return {g: (m, s / max(1.0, final[g][1] / chi_square_median(p))) for g, (m, s) in found.items()}
+    return best
 
 
-def judge(docs: DataFrame, core: float = 0.75, cut: float = 30.0, steps: int = 4, least: int = 200, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
+def judge(docs: DataFrame, core: float = 0.75, reject: float = 5e-5, least: int = 200, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
     """Per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
     Null and empty texts have zero counts and fail the base rules. Null languages and sources are groups like others.
     A (lang, source) with fewer than ``least`` rows that pass the base rules is estimated with its language's small
     sources together, and with all small groups where those are still too few; distance is null where the base rules
-    fail. Repeated rows are judged alike. Extra columns are ignored; empty tables give none.
+    fail. Groups whose rows are all alike have the floors as scatter. Repeated rows are judged alike. Extra columns are
+    ignored; empty tables give none.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     rows = scratch.save(statistics(docs).withColumn("base_failed", failed))
-    good = rows.where(~F.col("base_failed"))
-    sizes = {(r["lang"], r["source"]): r["n"] for r in good.groupBy("lang", "source").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed")).alias("kept"), F.lit(None).cast("double").alias("distance"))
-    of_lang: dict = {}
-    for (lang, _), n in sizes.items():
-        if n < least:
-            of_lang[lang] = of_lang.get(lang, 0) + n
-    ids: dict = {}
-    groups = []
-    for (lang, source), n in sorted(sizes.items(), key=str):
-        name = (lang, source) if n >= least else (lang,) if of_lang[lang] >= least else ()
-        groups.append((lang, source, ids.setdefault(name, len(ids))))
-    table = spark.createDataFrame(groups, "_lang string, _source string, g int")
-    table = F.broadcast(table) if len(groups) <= 100_000 else table
-    named = rows.join(table, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
-    found = estimate(named.where(~F.col("base_failed")).select("g", *PARTS), core, steps)
-    out = distances(named, found)
+    sizes = rows.where(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n"))
+    few = sizes.where(F.col("n") < least).groupBy("lang").agg(F.sum("n").alias("few"))
+    both = sizes.join(few.withColumnRenamed("lang", "_l"), F.col("lang").eqNullSafe(F.col("_l")), "left")
+    level = F.when(F.col("n") >= least, 2).when(F.col("few") >= least, 1).otherwise(0)
+    name = lambda c, at: F.concat(F.when(level < at, "-").when(F.col(c).isNull(), "?").otherwise(F.lit("=")), F.coalesce(F.when(level >= at, F.col(c)), F.lit("")))
+    groups = scratch.save(both.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct(name("lang", 1).alias("lang"), name("source", 2).alias("source")).alias("g")))
+    few_groups = groups.count() <= BROADCAST_ROWS
+    named = rows.join(F.broadcast(groups) if few_groups else groups, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
+    good = scratch.save(named.where(~F.col("base_failed")).select("g", *PARTS))
+    found = estimate(good, core, scratch)
+    scale = whitened(joined(good, found.drop("logdet", "s"), ["g"])).groupBy("g").agg((F.percentile_approx("d2", 0.5, 10_000) / chi_square(P, 0.5)).alias("scale"))
+    # never let a tight core shrink the scale below the floors
+    final = scratch.save(found.drop("logdet", "s").join(scale, "g").select("g", "m", F.transform("l", lambda x: x * F.sqrt(F.greatest(F.lit(1.0), F.col("scale")))).alias("l")))
+    out = whitened(joined(named, final, ["g"], "left"))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.col("d2") <= cut)).alias("kept"), F.when(~F.col("base_failed"), F.col("d2")).alias("distance"),
+        (~F.col("base_failed") & F.coalesce(F.col("d2") <= chi_square(P, 1 - reject), F.lit(False))).alias("kept"), F.when(~F.col("base_failed"), F.col("d2")).alias("distance"),
     )
