@@ -47,12 +47,26 @@ def test_distances(spark):
     x = r.normal(0, 1, (40, 6))
     mean, cov = scatter(x)
     factor = np.linalg.cholesky(cov)
-    rows = [(*map(float, v), mean.tolist(), factor[np.tril_indices(6)].tolist()) for v in x]
-    table = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in quality.PARTS) + ", m array<double>, l array<double>")
-    got = [x["d2"] for x in quality.whitened(table).collect()]
+    table = spark.createDataFrame([(1, *map(float, v)) for v in x], "g int, " + ", ".join(f"{c} double" for c in quality.PARTS))
+    found = spark.createDataFrame([(1, mean.tolist(), factor[np.tril_indices(6)].tolist())], "g int, m array<double>, l array<double>")
+    got = [x["d2"] for x in quality.measured(table, found, ["g"]).collect()]
     assert np.allclose(sorted(got), sorted(((x - mean) @ np.linalg.inv(cov) * (x - mean)).sum(axis=1)))
 
 
+@pytest.mark.parametrize("window", [1, 2, 3, 7, 8, 11])
+def test_repeated_words(spark, window):
+    r = random.Random(window)
+    texts = ["", "a", "a a a", *[" ".join(r.choice("abc") + r.choice(["", "x"]) for _ in range(r.randint(1, 60))) for _ in range(30)], "p q " * 40]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {x["i"]: x["n"] for x in rows.select("i", quality.repeated_words(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), window).alias("n")).collect()}
+    for i, t in enumerate(texts):
+        w = t.split()
+        at: dict = {}
+        for k in range(len(w) - window + 1):
+            at.setdefault(tuple(w[k : k + window]), []).append(k)
+        assert got[i] == len({k + j for places in at.values() if len(places) > 1 for k in places for j in range(window)}), t
+
+
 def test_chi_square():
     # tabled quantiles
     assert quality.chi_square(6, 0.5) == pytest.approx(5.348, rel=0.01) and quality.chi_square(6, 0.99) == pytest.approx(16.81, rel=0.01) and quality.chi_square(6, 0.999) == pytest.approx(22.46, rel=0.01)

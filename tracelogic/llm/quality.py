@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .native import let
+from .native import let, total
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -49,11 +49,18 @@ def repeated_words(words: Column, window: int) -> Column:
 
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(pairs, count))
 
-    def windows(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(h) - (window - 1)), lambda i: F.xxhash64(F.slice(h, i, window)))
+    def both(parts: Column, apart: int) -> Column:
+        """Hashes of what begins at i and at i + apart."""
+        return F.transform(F.slice(parts, 1, F.greatest(F.lit(0), F.size(parts) - apart)), lambda v, i: F.xxhash64(v, F.get(parts, i + apart)))
+
+    def windows(h: Column, size: int = 1) -> Column:
+        # twice the size from two neighbours; at last two that overlap make the window
+        if 2 * size <= window:
+            return let(both(h, size), lambda x: windows(x, 2 * size))
+        return both(h, window - size) if size < window else h
 
     hashed = F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(F.size(words) < window, F.lit(0).cast("long")).otherwise(let(let(hashed, windows), covered))
+    return F.when(F.size(words) < window, F.lit(0).cast("long")).otherwise(let(let(hashed, lambda h: windows(h)), covered))
 
 
 def count_of(text: Column, chars: str) -> Column:
@@ -95,13 +102,37 @@ def joined(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner")
     return rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, on, how)
 
 
-def whitened(rows: DataFrame) -> DataFrame:
-    """rows (with m and l) with d2. Each coordinate is a column of its own, so expressions don't double in size."""
-    for i, c in enumerate(PARTS):
-        at = i * (i + 1) // 2
-        rest = reduce(lambda a, j: a - F.get("l", F.lit(at + j)) * F.col(f"z{j}"), range(i), F.col(c) - F.get("m", F.lit(i)))  # noqa: B023
-        rows = rows.withColumn(f"z{i}", rest / F.get("l", F.lit(at + i)))
-    return rows.withColumn("d2", reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)])).drop(*[f"z{i}" for i in range(P)], "m", "l")
+PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+
+
+def polynomial() -> Column:
+    """The vector's parts and their products, of which a distance is a weighted sum."""
+    names = list(PARTS)
+    return F.array(*[F.col(c) for c in names], *[F.col(names[i]) * F.col(names[j]) for i, j in PAIRS])
+
+
+def weights(found: DataFrame) -> DataFrame:
+    """found with c: the weights of polynomial(), and the constant, that give the squared distance by m and l."""
+    at = lambda i, j: F.get("l", F.lit(i * (i + 1) // 2 + j))
+    out = found
+    for i in range(P):  # the inverse of l, row by row
+        for j in range(i + 1):
+            rest = reduce(lambda a, k: a - at(i, k) * F.col(f"_r{k}_{j}"), range(j, i), F.lit(1.0 if i == j else 0.0))  # noqa: B023
+            out = out.withColumn(f"_r{i}_{j}", rest / at(i, i))
+    for i, j in PAIRS:
+        out = out.withColumn(f"_w{i}_{j}", reduce(lambda a, k: a + F.col(f"_r{k}_{i}") * F.col(f"_r{k}_{j}"), range(j, P), F.lit(0.0)))  # noqa: B023
+    w = lambda i, j: F.col(f"_w{min(i, j)}_{max(i, j)}")
+    m = [F.get("m", F.lit(i)) for i in range(P)]
+    linear = [total([w(i, j) * m[j] for j in range(P)]) for i in range(P)]
+    c = F.array(*[-2 * x for x in linear], *[w(i, j) * (1 if i == j else 2) for i, j in PAIRS], total([x * y for x, y in zip(linear, m, strict=True)]))
+    return out.select(*found.columns, c.alias("c"))
+
+
+def measured(rows: DataFrame, found: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows with d2, and s where found has it. The sum runs over arrays: as one expression it would be too large to be compiled."""
+    near = joined(rows, weights(found).drop("m", "l", "logdet"), on, how)
+    terms = F.zip_with("c", polynomial(), lambda c, x: c * F.coalesce(x, F.lit(1.0)))  # the constant has no partner
+    return near.withColumn("d2", F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))).drop("c")
 
 
 def factored(moments: DataFrame) -> DataFrame:
@@ -122,7 +153,7 @@ def factored(moments: DataFrame) -> DataFrame:
 
 def moments() -> list[Column]:
     names = list(PARTS)
-    return [F.count("*").alias("n")] + [F.sum(c).alias(f"x_{i}") for i, c in enumerate(names)] + [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"x_{i}_{j}") for i in range(P) for j in range(i, P)]
+    return [F.count("*").alias("n")] + [F.sum(c).alias(f"x_{i}") for i, c in enumerate(names)] + [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"x_{i}_{j}") for i, j in PAIRS]
 
 
 def starts(rows: DataFrame, number: int, size: int) -> DataFrame:
@@ -143,9 +174,9 @@ def starts(rows: DataFrame, number: int, size: int) -> DataFrame:
 
 def concentrated(rows: DataFrame, found: DataFrame, core: float) -> DataFrame:
     """Estimates from the ``core`` share of rows that are nearest by the estimates ``found``."""
-    measured = whitened(joined(rows, found.drop("logdet"), ["g"]))
-    edge = measured.groupBy("g", "s").agg(F.percentile_approx("d2", core, 10_000).alias("edge"))
-    return factored(joined(measured, edge, ["g", "s"]).where("d2 <= edge").groupBy("g", "s").agg(*moments()))
+    near = measured(rows, found, ["g"])
+    edge = near.groupBy("g", "s").agg(F.percentile_approx("d2", core, 10_000).alias("edge"))
+    return factored(joined(near, edge, ["g", "s"]).where("d2 <= edge").groupBy("g", "s").agg(*moments()))
 
 
 def estimate(rows: DataFrame, core: float, scratch: Scratch, number: int = 4, size: int = 60, steps: int = 30) -> DataFrame:
@@ -187,10 +218,10 @@ def judge(docs: DataFrame, core: float = 0.75, reject: float = 5e-5, least: int
     named = rows.join(F.broadcast(groups) if few_groups else groups, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
     good = scratch.save(named.where(~F.col("base_failed")).select("g", *PARTS))
     found = estimate(good, core, scratch)
-    scale = whitened(joined(good, found.drop("logdet", "s"), ["g"])).groupBy("g").agg((F.percentile_approx("d2", 0.5, 10_000) / chi_square(P, 0.5)).alias("scale"))
+    scale = measured(good, found.drop("s"), ["g"]).groupBy("g").agg((F.percentile_approx("d2", 0.5, 10_000) / chi_square(P, 0.5)).alias("scale"))
     # never let a tight core shrink the scale below the floors
     final = scratch.save(found.drop("logdet", "s").join(scale, "g").select("g", "m", F.transform("l", lambda x: x * F.sqrt(F.greatest(F.lit(1.0), F.col("scale")))).alias("l")))
-    out = whitened(joined(named, final, ["g"], "left"))
+    out = measured(named, final, ["g"], "left")
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce(F.col("d2") <= chi_square(P, 1 - reject), F.lit(False))).alias("kept"), F.when(~F.col("base_failed"), F.col("d2")).alias("distance"),
