@@ -90,10 +90,12 @@ SENTENCE = re.compile(r"[.!?\n]+")
 def swaps(text: str, groups: tuple[str, ...]) -> list[tuple[str, str]]:
     """(sentence, the same with one name swapped) for each sentence, name in it and other name of its group."""
     others = {t: [x for x in g.split() if x != t] for g in groups for t in g.split()}
-    out = []
-    for sentence in SENTENCE.split(text.lower()):
-        own = NAME.findall(sentence)
-        for name in sorted(set(own) & others.keys()):
+    out: list[tuple[str, str]] = []
+    low = text.lower()
+    if others.keys().isdisjoint(NAME.findall(low)):
+        return out
+    for sentence in SENTENCE.split(low):
+        for name in sorted(others.keys() & set(NAME.findall(sentence))):
             out += [(sentence, re.sub(rf"(?<![^\W\d_]){re.escape(name)}(?![^\W\d_])", other, sentence)) for other in others[name]]
     return out
 
@@ -154,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, n_features: in
     scratch = Scratch(docs.sparkSession)
     ids = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it is sent to all executors
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text")
+    rows = scratch.save(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text"))
 
     def present(batches):
         for b in batches:
@@ -208,8 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, n_features: in
     codes = [np.frombuffer(r["f"], np.int32) for r in got]
     scratch.drop(seen)
     y = np.array([float(r["toxic"]) for r in got])
-    named = rows.where(F.regexp_like(F.lower("text"), F.lit(r"(?<!\p{L})(?:" + "|".join(t for g in groups for t in g.split()) + r")(?!\p{L})"))).select("text")
-    pairs = named.mapInArrow(swapped, "a binary, b binary, h binary").orderBy("h", "a", "b").limit(n_swaps).collect() if groups else []
+    pairs = rows.select("text").mapInArrow(swapped, "a binary, b binary, h binary").orderBy("h", "a", "b").limit(n_swaps).collect() if groups else []
+    scratch.drop(rows)
     pairs = [(np.frombuffer(r["a"], np.int32), np.frombuffer(r["b"], np.int32)) for r in pairs]
     return train(y, np.repeat(np.arange(len(y)), [len(c) for c in codes]), np.concatenate(codes), keys, pairs, **params)
 
