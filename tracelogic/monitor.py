@@ -27,10 +27,8 @@ class Monitor:
     def run(self, relations: dict[str, DataFrame], timepoints: DataFrame) -> DataFrame:
         """(tp, ts, one column per free variable) of each satisfying binding; closed formulas have no further column."""
         if self.collapse:
-            dense = timepoints.groupBy("ts").agg(F.min("tp").alias("_first"))
-            relations = {k: d.drop("tp").join(dense, "ts").withColumnRenamed("_first", "tp").select("tp", "ts", *[c for c in d.columns if c not in ("tp", "ts")]) for k, d in relations.items()}
             # neighbours must be one apart, so merged time-points are numbered anew
-            order = number(dense.select("ts"), ["ts"], "ts")
+            order = number(timepoints.select("ts").distinct(), ["ts"], "ts")
             relations = {k: d.drop("tp").join(order, "ts").select("tp", "ts", *[c for c in d.columns if c not in ("tp", "ts")]) for k, d in relations.items()}
             timepoints = order
         compiler = Compiler(relations, timepoints)

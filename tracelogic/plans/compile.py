@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 from ..formula.ast import ANY, And, Compare, Const, Eventually, Exists, Forall, Formula, FormulaError, Interval, Next, Not, Once, Or, Pred, Prev, Release, Since, Trigger, Truth, Until, Var, free_variables
 
 TIME = ["tp", "ts"]
+#: Time-points (or seconds) that are sorted in one task.
+BUCKET = 1 << 16
 
 
 def variables(df: DataFrame) -> list[str]:
@@ -68,6 +70,8 @@ class Compiler:
         self.relations, self.t, self.parts = relations, timepoints.select(*TIME), parts
         self.plans: dict[Formula, DataFrame] = {}
         self._ends: tuple[int, int] | None = None
+        #: Least width of the time buckets in which a key's rows are sorted.
+        self.width = 1
 
     def ends(self) -> tuple[int, int]:
         """First and last time-stamp; asked for only where an interval has no end."""
@@ -76,6 +80,10 @@ class Compiler:
             self._ends = (r[0] or 0, r[1] or 0)
         return self._ends
 
+    def last_bucket(self) -> int:
+        """Bucket of the last time-point."""
+        return (self.t.agg(F.max("tp")).first()[0] or 0) // BUCKET
+
     def plan(self, f: Formula) -> DataFrame:
         """Satisfying (tp, ts, bindings); equal sub-formulas share a plan."""
         if f not in self.plans:
@@ -206,15 +214,14 @@ class Compiler:
         """Unguarded: each hit reaches until the next hit takes over, so no time-point comes up twice."""
         past, i = isinstance(f, Once), f.interval
         hits, keys = self.plan(f.arg), names(f)
-        order = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
         if i.hi is None:
             pick = F.min(F.struct("tp", "ts")) if past else F.max(F.struct("tp", "ts"))
             hits = hits.groupBy(*keys).agg(pick.alias("_x")).where("_x is not null").select(*keys, "_x.tp", "_x.ts").withColumn("_n", F.lit(None).cast("long"))
         elif i.lo == 0:
-            hits = hits.withColumn("_n", (F.lead("tp") if past else F.lag("tp")).over(order.orderBy("tp")))
+            hits = neighbour(hits, keys, "tp", past)
         else:
             one = hits.groupBy(*keys, "ts").agg(F.min("tp").alias("tp"))
-            hits = one.withColumn("_n", (F.lead("ts") if past else F.lag("ts")).over(order.orderBy("ts")))
+            hits = neighbour(one, keys, "ts", past)
         hits = hits.withColumnRenamed("tp", "_tp").withColumnRenamed("ts", "_ts")
         out = self.reach(hits, i, past)
         sign = 1 if past else -1
@@ -263,7 +270,8 @@ class Compiler:
         both = own.withColumn("_q", F.lit(False)).unionByName(theirs, allowMissingColumns=True)
         part = Window.partitionBy(*shared, "_b")
         if i.lo == 0:
-            frame = part.orderBy("tp").rangeBetween(*((Window.unboundedPreceding, 0) if past else (0, Window.unboundedFollowing)))
+            # a frame that only grows is one pass; so the future is read backwards
+            frame = part.orderBy("tp" if past else F.desc("tp")).rangeBetween(Window.unboundedPreceding, 0)
             hit = (F.max if past else F.min)("_hit").over(frame)
             ok = F.coalesce((F.col("ts") - F.col("_m")) * (1 if past else -1) < i.hi, F.lit(False))
         else:
@@ -297,19 +305,45 @@ class Compiler:
         shared, keys = variables(alpha), names(f)
         beta = beta.withColumnRenamed("tp", "_tp").withColumnRenamed("ts", "_ts")
         if negated:
-            # the nearest alpha beyond beta ends its reach
-            marks = beta.withColumn("_beta", F.lit(True)).unionByName(alpha.withColumnRenamed("tp", "_tp").withColumnRenamed("ts", "_ts").withColumn("_beta", F.lit(False)), allowMissingColumns=True)
-            part = (Window.partitionBy(*shared) if shared else Window.partitionBy(F.lit(0))).orderBy("_tp")
-            other = F.when(~F.col("_beta"), F.col("_tp"))
-            near = F.min(other).over(part.rangeBetween(1, Window.unboundedFollowing)) if past else F.max(other).over(part.rangeBetween(Window.unboundedPreceding, -1))
-            beta = marks.withColumn("_k", near).where("_beta").drop("_beta")
+            # the nearest alpha beyond beta ends its reach; alphas beyond the interval don't matter
+            marks = alpha.withColumnRenamed("tp", "_tp").withColumnRenamed("ts", "_ts").withColumn("_beta", F.lit(False))
+            beta = beta.withColumn("_beta", F.lit(True))
+            if i.hi is not None:
+                width = max(self.width, i.hi)
+                at = bucket(F.col("_ts"), width)
+                marks = marks.withColumn("_b", F.explode(F.array(at, at - 1 if past else at + 1)))
+                beta = beta.withColumn("_b", at)
+            else:
+                # without an end the first (last) alpha of each bucket serves all buckets before (after) it
+                cut = F.floor(F.col("_tp") / BUCKET).cast("long")
+                marks, beta = marks.withColumn("_b", cut), beta.withColumn("_b", cut)
+                ends = neighbour(marks.groupBy(*shared, "_b").agg((F.min if past else F.max)("_tp").alias("_e")), shared, "_b", not past).withColumnRenamed("_n", "_from")
+                # an alpha also stands in the buckets that see it as the next one
+                low, high = (F.coalesce("_from", F.lit(0)), F.col("_b")) if past else (F.col("_b"), F.coalesce("_from", F.lit(self.last_bucket())))
+                far = ends.select(*shared, F.col("_e").alias("_tp"), F.explode(F.sequence(low, high)).alias("_c"), "_b").where("_c <> _b").select(*shared, "_tp", F.col("_c").alias("_b")).withColumn("_beta", F.lit(False))
+                marks = marks.drop("_ts").unionByName(far)
+            both = beta.unionByName(marks, allowMissingColumns=True)
+            frame = Window.partitionBy(*shared, "_b").orderBy(F.desc("_tp") if past else "_tp").rangeBetween(Window.unboundedPreceding, -1)
+            near = (F.min if past else F.max)(F.when(~F.col("_beta"), F.col("_tp"))).over(frame)
+            beta = both.withColumn("_k", near).where("_beta").drop("_beta", "_b")
             reach = self.reach(beta, i, past)
             inside = F.col("_k").isNull() | ((F.col("tp") < F.col("_k")) if past else (F.col("tp") > F.col("_k")))
         else:
-            part = Window.partitionBy(*shared).orderBy("tp") if shared else Window.partitionBy(F.lit(0)).orderBy("tp")
-            runs = alpha.withColumn("_g", F.col("tp") - F.row_number().over(part)).groupBy(*shared, "_g").agg(F.min("tp").alias("_s"), F.max("tp").alias("_e")).drop("_g")
+            # runs of neighbouring time-points; each beta touches one run at most, the last that begins before it (the
+            # first that ends after it). Both are cut into buckets of time-points, so a key's rows go to many tasks.
+            cut = alpha.withColumn("_b", F.floor(F.col("tp") / BUCKET).cast("long"))
+            part = Window.partitionBy(*shared, "_b").orderBy("tp")
+            pieces = cut.withColumn("_g", F.col("tp") - F.row_number().over(part)).groupBy(*shared, "_b", "_g").agg(F.min("tp").alias("_s"), F.max("tp").alias("_e"))
+            runs = joined_runs(pieces, shared)
+            mine = F.floor(F.col("_tp") / BUCKET).cast("long")
+            span = F.sequence(F.floor((F.col("_s") - 1) / BUCKET).cast("long"), F.floor((F.col("_e") + 1) / BUCKET).cast("long"))
+            spread = runs.withColumn("_b", F.explode(span)).withColumn("_run", F.struct("_s", "_e")).withColumn("_tp", F.col("_s") - 1 if past else F.col("_e") + 1).drop("_s", "_e")
+            both = beta.withColumn("_b", mine).withColumn("_beta", F.lit(1)).unionByName(spread.withColumn("_beta", F.lit(0)), allowMissingColumns=True)
+            frame = Window.partitionBy(*shared, "_b").orderBy("_tp" if past else F.desc("_tp"), "_beta").rowsBetween(Window.unboundedPreceding, 0)
+            held = both.withColumn("_r", F.last("_run", ignorenulls=True).over(frame)).where("_beta = 1").drop("_run", "_b", "_beta")
+            held = held.select("*", F.col("_r._s").alias("_s"), F.col("_r._e").alias("_e")).drop("_r")
             touches = ((F.col("_tp") >= F.col("_s") - 1) & (F.col("_tp") < F.col("_e"))) if past else ((F.col("_tp") > F.col("_s")) & (F.col("_tp") <= F.col("_e") + 1))
-            held = (beta.join(runs, shared) if shared else beta.join(runs, F.lit(True))).where(touches)
+            held = held.where(touches)
             reach = self.reach(held, i, past)
             inside = ((F.col("tp") > F.col("_tp")) & (F.col("tp") <= F.col("_e"))) if past else ((F.col("tp") < F.col("_tp")) & (F.col("tp") >= F.col("_s")))
         sign = 1 if past else -1
@@ -370,6 +404,45 @@ class Compiler:
         return df.join(found, ["tp", *variables(df)], "left_semi")
 
 
+def neighbour(df: DataFrame, keys: list[str], column: str, after: bool) -> DataFrame:
+    """df with _n, the next larger (smaller) value of the column among rows of equal keys.
+
+    Rows are sorted in buckets of the column; where a bucket has no further value, the first (last) value of the next
+    bucket that has any is taken, from a table with one row for each key and bucket.
+    """
+    cut = df.withColumn("_nb", F.floor(F.col(column) / BUCKET).cast("long"))
+    inner = Window.partitionBy(*keys, "_nb").orderBy(column)
+    ends = cut.groupBy(*keys, "_nb").agg((F.min if after else F.max)(column).alias("_nv"))
+    # keyed: a key's buckets; else all buckets, again in two steps
+    if keys:
+        order = Window.partitionBy(*keys).orderBy("_nb")
+        ends = ends.withColumn("_nf", (F.lead if after else F.lag)("_nv").over(order))
+    else:
+        wide = ends.withColumn("_nc", F.floor(F.col("_nb") / BUCKET).cast("long"))
+        tops = wide.groupBy("_nc").agg((F.min if after else F.max)("_nv").alias("_nt"))
+        tops = tops.withColumn("_nt", (F.lead if after else F.lag)("_nt").over(Window.orderBy("_nc")))
+        order = Window.partitionBy("_nc").orderBy("_nb")
+        ends = wide.withColumn("_nf", (F.lead if after else F.lag)("_nv").over(order)).join(tops, "_nc").withColumn("_nf", F.coalesce("_nf", "_nt")).drop("_nc", "_nt")
+    ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_nb").alias("_kb"), "_nf")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_nb") == F.col("_kb"))
+    found = cut.withColumn("_n", (F.lead if after else F.lag)(column).over(inner)).join(ends, same)
+    return found.withColumn("_n", F.coalesce("_n", "_nf")).select(*df.columns, "_n")
+
+
+def joined_runs(pieces: DataFrame, shared: list[str]) -> DataFrame:
+    """Runs from their pieces in buckets (shared, _b, _s, _e): a piece that ends where the next begins goes on in it.
+
+    Only pieces at a bucket's edge are joined; a run through whole buckets is followed in order of its buckets.
+    """
+    low, high = F.col("_b") * BUCKET, F.col("_b") * BUCKET + BUCKET - 1
+    edge = (F.col("_s") == low) | (F.col("_e") == high)
+    inner = pieces.where(~edge).select(*shared, "_s", "_e")
+    order = Window.partitionBy(*shared).orderBy("_s")
+    edges = pieces.where(edge).withColumn("_new", (F.coalesce(F.lag("_e").over(order), F.lit(-2)) != F.col("_s") - 1).cast("int"))
+    edges = edges.withColumn("_r", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return inner.unionByName(edges.groupBy(*shared, "_r").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e")).drop("_r"))
+
+
 def dual(f: Trigger | Release) -> Formula:
     """The SINCE or UNTIL whose negation f is."""
     node = Since if isinstance(f, Trigger) else Until
