@@ -9,7 +9,7 @@ from math import prod
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..formula.ast import Const, Formula, Var, atoms, free_variables
+from ..formula.ast import Const, Formula, Pred, Var, atoms, free_variables
 
 
 def shares_of(formula: Formula, degree: int, sizes: dict[str, float], active: set[str] | None = None) -> dict[str, int]:
@@ -134,13 +134,33 @@ def should_switch(cost_now: float, cost_new: float, per_event: float, shutdown:
     return go, stability / 2 if go else stability + 1
 
 
+#: Variable that stands for the slice number in a formula evaluated over all slices at once.
+SLICE = "slice__"
+
+
+def with_slice(f: Formula) -> Formula:
+    """f with the slice number as a further argument of every predicate."""
+    return Pred(f.relation, (*f.args, Var(SLICE))) if isinstance(f, Pred) else f.rebuilt(with_slice)
+
+
 def run_sliced(slicer: Slicer, facts: DataFrame, timepoints: DataFrame, sig) -> DataFrame:
-    """Verdicts by slice, filtered and merged; equal to the unsliced ones."""
+    """Verdicts by slice, filtered and merged; equal to the unsliced ones.
+
+    The slice is a key column of one plan. Only formulas that are not bounded with it (negations without variables)
+    are planned slice by slice.
+    """
     from ..monitor import Monitor
+    from ..plans.compile import bounded
     from ..sources.traces import relations
 
-    parts = []
     sliced = slicer.slice_facts(facts)
+    keyed = with_slice(slicer.formula)
+    if bounded(keyed):
+        wide = {name: [*cols, (SLICE, "int")] for name, cols in sig.items()}
+        tagged = sliced.withColumn("args", F.concat("args", F.array(F.col("slice").cast("string"))))
+        found = Monitor(keyed).run(relations(tagged, wide), timepoints)
+        return slicer.keeps(found.withColumnRenamed(SLICE, "slice")).select("tp", "ts", *free_variables(slicer.formula))
+    parts = []
     for k in range(slicer.degree):
         mine = sliced.where(F.col("slice") == k)
         parts.append(slicer.keeps(Monitor(slicer.formula).run(relations(mine, sig), timepoints).withColumn("slice", F.lit(k))).drop("slice"))

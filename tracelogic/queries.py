@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .formula.ast import Pred, Temporal
 from .formula.rewrite import read
 from .functions import statistics as st
 from .monitor import Monitor, number
 from .operators.slicing import Slicer, run_sliced, slice_load
 from .sources import generate as gen
 from .sources import traces
+from .sources.staging import staged
 
 TYPES = ("click", "error", "purchase", "signup", "view")
 
@@ -32,8 +34,14 @@ def event_rows(spark, sf_dir: str) -> DataFrame:
     return number(base, ["at", "event_id"], "ts")
 
 
-def events_trace(spark, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+#: From so many mentions on, the numbered trace is written once instead of being numbered for each.
+MENTIONS = 4
+
+
+def events_trace(spark, sf_dir: str, mentions: int = 1) -> tuple[dict[str, DataFrame], DataFrame]:
     e = event_rows(spark, sf_dir)
+    if mentions >= MENTIONS:
+        e = staged(e.select("tp", "ts", "user_id", "event_id", "event_type"))
     of = lambda kind: e.where(F.col("event_type") == kind)
     out = {k: of(k).select("tp", "ts", F.col("user_id").alias("x0")) for k in TYPES}
     for name, kind in (("bought", "purchase"), ("failed", "error")):
@@ -43,10 +51,14 @@ def events_trace(spark, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
     return out, e.select("tp", "ts")
 
 
-def orders_trace(spark, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+def orders_trace(spark, sf_dir: str, mentions: int = 1) -> tuple[dict[str, DataFrame], DataFrame]:
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", F.expr("timestampdiff(DAY, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate)").cast("long").alias("ts"))
     t = number(o.select("ts").distinct(), ["ts"], "ts")
+    if mentions >= MENTIONS:
+        t = staged(t)
     rows = o.join(t, "ts")
+    if mentions >= MENTIONS:
+        rows = staged(rows)
     return {k: rows.where(F.col("o_orderstatus") == k).select("tp", "ts", F.col("o_custkey").alias("x0"), F.col("o_orderkey").alias("x1")) for k in "OFP"}, t
 
 
@@ -142,7 +154,8 @@ def formula_query(name: str):
     kind, formula, options, _ = FORMULAS[name]
 
     def run(spark, sf_dir: str) -> DataFrame:
-        return Monitor(formula, **options).run(*(events_trace if kind == E else orders_trace)(spark, sf_dir))
+        monitor = Monitor(formula, **options)
+        return monitor.run(*(events_trace if kind == E else orders_trace)(spark, sf_dir, sum(isinstance(x, (Pred, Temporal)) for x in monitor.formula.walk())))
 
     return run
 

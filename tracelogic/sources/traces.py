@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 FACTS = "relation string, tp long, ts long, args array<string>"
 SIMPLE = r"^[A-Za-z0-9_\[\]/:.-]+$"
+#: Values that need no quotes in csv lines and verdicts.
+CLEAN = r'^(?:[^\s,()"\\]|[^\s,()"\\][^,()"\\\n]*[^\s,()"\\])?$'
 
 
 def signature(text: str) -> dict[str, list[tuple[str, str]]]:
@@ -41,13 +43,34 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+#: A value in a line: quoted, with \\, \" and \n inside, or anything without comma and quote.
+VALUE = r'(?:[^,"]|"(?:[^"\\]|\\.)*+")*+'
+
+
+def unquoted(x):
+    """The value that a text stands for; text without quotes is itself, without blanks around it."""
+    inner = F.regexp_extract(x, r'^[^"]*"((?:[^"\\]|\\.)*)"\s*$', 1)
+    plain = F.replace(F.replace(F.replace(F.replace(inner, F.lit("\\\\"), F.lit("\0")), F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')), F.lit("\0"), F.lit("\\"))
+    return F.when(F.regexp_like(x, F.lit(r'^\s*"')), plain).otherwise(F.trim(x))
+
+
+def quoted(a, simple: str):
+    """a in quotes unless it matches ``simple``."""
+    inner = F.replace(F.replace(F.replace(a, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    return F.when(F.regexp_like(a, F.lit(simple)), a).otherwise(F.concat(F.lit('"'), inner, F.lit('"')))
+
+
 def parse_csv(text: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``R, tp=1, ts=2, x0=a, ...`` lines (column value). Argument names don't count; ``;;`` and ``>...<`` lines are no facts."""
-    parts = F.split("value", ",")
-    after = lambda x: F.trim(F.regexp_replace(x, r"^[^=]*=", ""))
-    rows = text.where(F.regexp_like("value", F.lit(r"^\s*[^>;\s][^,]*,\s*tp\s*=")))
-    facts = rows.select(F.trim(parts[0]).alias("relation"), after(parts[1]).cast("long").alias("tp"), after(parts[2]).cast("long").alias("ts"), F.transform(F.slice(parts, 4, F.size(parts)), after).alias("args"))
-    facts = facts.withColumn("args", F.filter("args", lambda x: x != ""))
+    """``R, tp=1, ts=2, x0=a, ...`` lines (column value). Argument names don't count; ``;;`` and ``>...<`` lines are no facts.
+
+    Empty values are values; only a comma with nothing behind it, after ts, is no argument. Works on streams too.
+    """
+    parts = F.regexp_extract_all(F.concat("value", F.lit(",")), F.lit(f"({VALUE}),"), F.lit(1))
+    after = lambda x: unquoted(F.regexp_replace(x, r'^[^="]*=', ""))
+    rows = text.where(F.regexp_like("value", F.lit(r"^\s*[^>;\s][^,]*,\s*tp\s*="))).select(parts.alias("p"))
+    args = F.slice("p", 4, F.size("p"))
+    none = (F.size("p") == 4) & (F.trim(F.get("p", F.lit(3))) == "")
+    facts = rows.select(F.trim(F.get("p", F.lit(0))).alias("relation"), after(F.get("p", F.lit(1))).cast("long").alias("tp"), after(F.get("p", F.lit(2))).cast("long").alias("ts"), F.when(none, F.array().cast("array<string>")).otherwise(F.transform(args, after)).alias("args"))
     return facts, facts.select("tp", "ts").distinct()
 
 
@@ -61,7 +84,10 @@ def parse_plain(text: DataFrame, timed: bool = False) -> tuple[DataFrame, DataFr
     return facts, facts.select("tp", "ts").distinct()
 
 
-ITEM = re.compile(r"""\s+|\#[^\n]*|>[^<\n]*<|(?P<at>@)\s*(?P<ts>-?[0-9]+)|(?P<name>[A-Za-z0-9_]+)(?=\s*\()|(?P<open>\()|(?P<close>\))|(?P<text>"[^"]*")|(?P<word>[A-Za-z0-9_\[\]/:.\-']+)|(?P<mark>[,;])""")
+ITEM = re.compile(r"""\s+|\#[^\n]*|>[^<\n]*<|(?P<at>@)\s*(?P<ts>-?[0-9]+)|(?P<name>[A-Za-z0-9_]+)(?=\s*\()|(?P<open>\()|(?P<close>\))|(?P<text>"(?:[^"\\]|\\.)*")|(?P<word>[A-Za-z0-9_\[\]/:.\-']+)|(?P<mark>[,;])""")
+
+
+ESCAPE = re.compile(r"\\(.)", re.S)
 
 
 def database_items(source: str) -> Iterator[tuple[str | None, int, int, list[str]]]:
@@ -88,7 +114,7 @@ def database_items(source: str) -> Iterator[tuple[str | None, int, int, list[str
                 args.append(value or "")
                 value = None
             elif m["text"]:
-                value = m["text"][1:-1]
+                value = ESCAPE.sub(lambda e: "\n" if e[1] == "n" else e[1], m["text"][1:-1])
             elif m["word"] or m["name"]:
                 value = m["word"] or m["name"]
         elif m["name"]:
@@ -149,17 +175,13 @@ def linearized(facts: DataFrame) -> DataFrame:
 
 def csv_lines(facts: DataFrame) -> DataFrame:
     """tp and line of each fact in the csv format."""
-    args = F.array_join(F.transform("args", lambda a, i: F.concat(F.lit(", x"), i.cast("string"), F.lit("="), a)), "")
+    args = F.array_join(F.transform("args", lambda a, i: F.concat(F.lit(", x"), i.cast("string"), F.lit("="), quoted(a, CLEAN))), "")
     return facts.select("tp", F.concat("relation", F.lit(", tp="), F.col("tp").cast("string"), F.lit(", ts="), F.col("ts").cast("string"), args).alias("line"))
 
 
-def quoted(a):
-    return F.when(F.regexp_like(a, F.lit(SIMPLE)), a).otherwise(F.concat(F.lit('"'), a, F.lit('"')))
-
-
 def database_lines(facts: DataFrame, timepoints: DataFrame) -> DataFrame:
     """tp and line ``@ts R(a,b)(c,d) S(e);`` of each time-point, empty ones included."""
-    tuples = facts.groupBy("tp", "relation").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("("), F.array_join(F.transform("args", quoted), ","), F.lit(")")))), "").alias("_t"))
+    tuples = facts.groupBy("tp", "relation").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("("), F.array_join(F.transform("args", lambda a: quoted(a, SIMPLE)), ","), F.lit(")")))), "").alias("_t"))
     groups = tuples.groupBy("tp").agg(F.array_join(F.array_sort(F.collect_list(F.concat("relation", "_t"))), " ").alias("_g"))
     body = F.coalesce(F.concat(F.lit(" "), "_g"), F.lit(""))
     return timepoints.join(groups, "tp", "left").select("tp", F.concat(F.lit("@"), F.col("ts").cast("string"), body, F.lit(";")).alias("line"))
@@ -180,7 +202,7 @@ def verdict_lines(verdicts: DataFrame, grouped: bool = False) -> DataFrame:
     if not cols:
         return verdicts.select("tp", F.concat(head, F.lit("true" if grouped else "(true)")).alias("line"))
     sep = "," if grouped else ", "
-    binding = F.concat(F.lit("("), F.concat_ws(sep, *[F.col(c).cast("string") for c in cols]), F.lit(")"))
+    binding = F.concat(F.lit("("), F.concat_ws(sep, *[quoted(F.col(c).cast("string"), CLEAN) for c in cols]), F.lit(")"))
     if not grouped:
         return verdicts.select("tp", F.concat(head, binding).alias("line"))
     return verdicts.groupBy("tp", "ts").agg(F.array_join(F.array_sort(F.collect_list(binding)), "").alias("_b")).select("tp", F.concat(head, "_b").alias("line"))
@@ -191,8 +213,9 @@ def parse_verdicts(text: DataFrame) -> DataFrame:
     m = lambda i: F.regexp_extract("value", r"^@(-?[0-9]+)\. \(time ?-?point ([0-9]+)\): (.*)$", i)
     rows = text.where(F.regexp_like("value", F.lit(r"^@-?[0-9]+\. \(time"))).select(m(2).cast("long").alias("tp"), m(1).cast("long").alias("ts"), m(3).alias("rest"))
     closed = F.regexp_like("rest", F.lit(r"^\(?true\)?$"))
-    bindings = F.when(closed, F.array(F.lit(""))).otherwise(F.regexp_extract_all("rest", F.lit(r"\(([^)]*)\)"), F.lit(1)))
-    return rows.select("tp", "ts", F.explode(bindings).alias("_x")).select("tp", "ts", F.when(F.col("_x") == "", F.array().cast("array<string>")).otherwise(F.transform(F.split("_x", ","), lambda x: F.trim(x))).alias("args"))
+    bindings = F.when(closed, F.array(F.lit("true"))).otherwise(F.regexp_extract_all("rest", F.lit(r'\(((?:[^()"]|"(?:[^"\\]|\\.)*+")*+)\)'), F.lit(1)))
+    parts = F.regexp_extract_all(F.concat("_x", F.lit(",")), F.lit(f"({VALUE}),"), F.lit(1))
+    return rows.select("tp", "ts", closed.alias("_c"), F.explode(bindings).alias("_x")).select("tp", "ts", F.when(F.col("_c"), F.array().cast("array<string>")).otherwise(F.transform(parts, unquoted)).alias("args"))
 
 
 def diff_verdicts(a: DataFrame, b: DataFrame, collapse: bool = False) -> DataFrame:
