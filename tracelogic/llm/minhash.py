@@ -29,7 +29,7 @@ from .components import components
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: Members per task block of a large group, and sets held against them at a time.
-BLOCK, HELD = 2000, 200
+BLOCK, HELD = 600, 200
 #: Up to so many candidates are sent to every executor (8 bytes each); more are joined.
 BROADCAST_ROWS = 500_000
 #: Tasks over which the members of one large bucket are dealt.

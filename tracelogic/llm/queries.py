@@ -114,4 +114,26 @@ WITH RECURSIVE d AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id::BIGINT AS component_id, doc_id = component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN least USING (doc_id)
 """
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op9_minhash": OP9_SQL}
+#: All 200-byte strings (as hex) of whole texts; those that start twice, joined to runs, and what is left.
+OP5_SQL = """
+WITH b AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), k AS (
+  SELECT doc_id, p, md5_number(substring(h, 2 * p + 1, 400)) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS p FROM b WHERE n >= 200)
+), d AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY g) AS c FROM k) WHERE c > 1
+), island AS (
+  SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS s
+  FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS fresh FROM d)
+), span AS (
+  SELECT doc_id, min(p) AS a, max(p) + 200 AS e FROM island GROUP BY doc_id, s
+), gap AS (
+  SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f FROM span
+), cut AS (
+  SELECT doc_id, count(*) AS spans, sum(e - a) AS removed, string_agg(substring(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) || substring(any_value(h), 2 * max(e) + 1) AS kept
+  FROM gap JOIN b USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM b LEFT JOIN cut USING (doc_id)
+"""
+ORACLES: dict[str, str] = {"op5_suffix_dedup": OP5_SQL, "op1_decontaminate": OP1_SQL, "op9_minhash": OP9_SQL}

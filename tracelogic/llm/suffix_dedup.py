@@ -261,8 +261,10 @@ def repeated_spans(docs: DataFrame, length: int = 200, partition_bytes: int = 32
     parts = int(min(50_000, max(1, -(-total // partition_bytes))))
     name = f"texts_{uuid.uuid4().hex}"
     texts = whole.select(text_key(F.col("text")).alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    texts.repartition(parts, "key").write.option("compression", "zstd").bucketBy(parts, "key").sortBy("key").format("parquet").saveAsTable(name)
+    texts.repartition(parts, "key").write.option("compression", "zstd").bucketBy(parts, "key").sortBy("key").format("parquet").option("path", f"{scratch.root}/texts").saveAsTable(name)
     texts = spark.table(name)
+    # the catalog's entry has done its work; the files stay in the shared folder
+    spark.sql(f"DROP TABLE {name}")
 
     def sample(batches):
         out: list[list] = [[] for _ in range(5)]
@@ -392,8 +394,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, partition_bytes: int = 32
     answer = texts.join(spans, "key", "left").select("key", "text", "copies", "spans").mapInArrow(strip, "key long, n_removed long, n_spans long, kept string, spans array<struct<start:long,end:long>>")
     text = F.coalesce("text", F.lit(""))
     n = F.octet_length(text)
-    rows = docs.select("doc_id", n.cast("long").alias("n_bytes"), F.when(n >= length, text_key(text)).alias("key"), F.when(n < length, F.sha2(text, 256)).alias("_short"))
+    rows = docs.select("doc_id", n.cast("long").alias("n_bytes"), F.when(n >= length, text_key(text)).otherwise(F.xxhash64("doc_id", F.lit("short"))).alias("key"), F.when(n < length, F.sha2(text, 256)).alias("_short"))
+    long = F.col("_short").isNull()  # short texts have keys of their own, so they don't meet in one task, and no answer
     return rows.join(answer, "key", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
-        F.coalesce("_short", "kept").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"),
+        "doc_id", "n_bytes", F.coalesce(F.when(long, F.col("n_removed")), F.lit(0).cast("long")).alias("n_removed"), F.coalesce(F.when(long, F.col("n_spans")), F.lit(0).cast("long")).alias("n_spans"),
+        F.coalesce("_short", "kept").alias("kept_sha256"), F.coalesce(F.when(long, F.col("spans")), F.array().cast("array<struct<start:long,end:long>>")).alias("spans"),
     )
