@@ -8,7 +8,7 @@ from tracelogic.formula.parser import parse
 from tracelogic.formula.rewrite import close, push_negation, read, resolve, show, to_past_language
 from tracelogic.functions import statistics as st
 from tracelogic.monitor import Monitor
-from tracelogic.operators.slicing import Slicer, run_sliced, shares_of, should_switch, slice_load, slicing_cost
+from tracelogic.operators.slicing import Slicer, run_sliced, shares_of, should_switch, slice_load, slicing_cost, through_process
 from tracelogic.sources import generate as gen
 from tracelogic.sources import traces
 from tracelogic.streaming.monitor import guarded, windowed_counts
@@ -20,12 +20,11 @@ PX, PY, QXY = Pred("P", (X,)), Pred("P", (Y,)), Pred("Q", (X, Y))
 @pytest.mark.parametrize(
     "text,want",
     [
-        ("5_()", Pred("5_")), ("P('a')", Pred("P", (Const("a"),))), ('P("[a]")', Pred("P", (Const("a"),))), ("x = -3", Compare("=", X, Const(-3))), ("x < y", Compare("<", X, Y)),
-        ("NOT P(x) AND P(y)", And(Not(PX), PY)), ("P(x) OR P(y) AND P(x)", Or(PX, And(PY, PX))), ("P(x) IMPLIES P(y) IMPLIES P(x)", implies(PX, implies(PY, PX))), ("P(x) EQUIV P(y)", ast.equiv(PX, PY)),
-        ("EXISTS x, y. P(x)", Exists("x", Exists("y", PX))), ("EXISTS x. P(x) IMPLIES P(y)", Exists("x", implies(PX, PY))), ("P(x) AND (FORALL y. P(y))", And(PX, Forall("y", PY))),
-        ("PREVIOUS [3s,5m) FALSE", Prev(Interval(3, 300), Truth(False))), ("PREV (3,5] FALSE", Prev(Interval(4, 6), Truth(False))), ("NEXT [3,*] TRUE", Next(Interval(3, None), Truth())),
-        ("P(x) SINCE [3,5) TRUE SINCE P(y)", Since(Interval(3, 5), PX, Since(ast.ANY, Truth(), PY))), ("P(x) AND P(y) UNTIL Q(x, y)", Until(ast.ANY, And(PX, PY), QXY)), ("EXISTS x. P(x) SINCE P(y)", Since(ast.ANY, Exists("x", PX), PY)),
-        ("P(x) IMPLIES ONCE Q(x,y) AND P(x)", implies(PX, Once(ast.ANY, And(QXY, PX)))), ("PAST_ALWAYS [3,5) P(x) # end", ast.historically(Interval(3, 5), PX)), ("(* a *) ALWAYS P(x)", ast.always(ast.ANY, PX)),
+        ("door_1()", Pred("door_1")), ("Q(x, y)", QXY), ("P('it')", Pred("P", (Const("it"),))), ('P("[unit]")', Pred("P", (Const("unit"),))), ("P(-12)", Pred("P", (Const(-12),))), ("y = 0", Compare("=", Y, Const(0))), ("y < x", Compare("<", Y, X)),
+        ("P(y) AND NOT P(x) AND Q(x, y)", And(And(PY, Not(PX)), QXY)), ("P(y) AND P(x) OR Q(x, y)", Or(And(PY, PX), QXY)), ("(P(y) OR P(x)) AND Q(x, y)", And(Or(PY, PX), QXY)), ("Q(x, y) IMPLIES P(x) OR P(y)", implies(QXY, Or(PX, PY))),
+        ("P(y) EQUIV Q(x, y)", ast.equiv(PY, QXY)), ("FORALL y. EXISTS x. Q(x, y)", Forall("y", Exists("x", QXY))), ("NOT (EXISTS y. P(y))", Not(Exists("y", PY))),
+        ("PREVIOUS [1h,2h) P(y)", Prev(Interval(3600, 7200), PY)), ("NEXT (1,2) P(y)", Next(Interval(2, 2), PY)), ("ONCE [2d,*) P(y)", Once(Interval(172800, None), PY)), ("NOT ONCE P(y)", Not(Once(ast.ANY, PY))),
+        ("P(x) SINCE [0,60] P(y)", Since(Interval(0, 61), PX, PY)), ("(NOT P(x)) UNTIL [1m,*) P(y)", Until(Interval(60, None), Not(PX), PY)), ("HISTORICALLY [0,9) P(x)", ast.historically(Interval(0, 9), PX)), ("ALWAYS P(x) # why", ast.always(ast.ANY, PX)), ("(* note *) P(x)", PX), ("TRUE OR FALSE", Or(Truth(), Truth(False))),
     ],
 )
 def test_grammar(text, want):
@@ -155,3 +154,50 @@ def test_windowed_counts_plan(spark):
 def test_entry_registers_queries():
     known, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert "and_once" in known and set(sql) <= set(known)
+
+
+def test_further_statistics(spark):
+    facts = spark.createDataFrame([("p", i, i, [str(i % 2)]) for i in range(10)] + [("q", 3, 3, ["7", "8"])], traces.FACTS)
+    hop = {(r["start"], r["value"]): r["n"] for r in st.hopping_histogram(facts.where("relation = 'p'"), 5, 2).collect()}
+    assert hop == {(-5, "0"): 3, (-5, "1"): 2, (0, "0"): 5, (0, "1"): 5, (5, "0"): 2, (5, "1"): 3}
+    assert st.relation_sizes(st.histogram(facts)) == {"p": 10.0, "q": 1.0} and st.constant_sizes("pq") == {"p": 100.0, "q": 100.0}
+    assert [round(x, 3) for x in st.moving_average([1, 2, 3])] == [1.0, 1.1, 1.29] and list(st.moving_average([])) == []
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "m string, ms double")
+    assert {(r["m"], r["peak"], r["mean"]) for r in st.latencies(rows, ["m"], "ms").collect()} == {("a", 3.0, 2.0), ("b", 5.0, 5.0)}
+
+
+def test_slicer_parts(spark):
+    f = read("A(a,b) AND ONCE [0,4) B(a,c)")
+    s = Slicer.of_shares(f, {"a": 2, "b": 3})
+    assert s.degree == 6 and not s.requires_filter() and Slicer.of_text(f, s.to_text()) == s
+    heavy = Slicer.optimize(f, 4, {}, {"a": {"1"}})
+    assert Slicer.of_text(f, heavy.to_text()) == heavy and heavy.requires_filter()
+    assert Slicer.of_shares(read("A(a,b) AND NOT A(b,a)"), {"a": 2}).requires_filter() and Slicer.of_shares(read("A(a,b) AND (EXISTS c. B(c,c))"), {}).requires_filter()
+    assert s.to_all(spark.createDataFrame([("flush",)], "command string")).count() == 6
+    rows = spark.createDataFrame([(k, t, f"{k} {t}") for t in range(20) for k in range(6)], "slice int, tp long, line string")
+    parts = s.dealt(rows).withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.countDistinct("slice").alias("n")).collect()
+    assert len(parts) == 6 and all(r["n"] == 1 for r in parts)
+    got = through_process(rows, ["tail", "-n", "1"], 6).collect()
+    assert sorted(map(tuple, got)) == [(k, f"{k} 19") for k in range(6)]
+
+
+def test_trace_tools(spark, tmp_path):
+    facts = spark.createDataFrame([("p", 0, 5, ["1"]), ("q", 2, 5, ["2"]), ("p", 3, 9, ["3"])], traces.FACTS)
+    times = spark.createDataFrame([(0, 5), (1, 5), (2, 5), (3, 9)], "tp long, ts long")
+    ends = lambda mode: [r["tp"] for r in traces.closed_lines(facts, times, mode).where("last = 1").orderBy("tp").collect()]
+    assert ends("all") == [0, 1, 2, 3] and ends("timestamps") == [2, 3] and ends("none") == []
+    assert traces.cut(facts, 5, 9).count() == 2
+    (tmp_path / "heavy.csv").write_text("A,0,17\nA,1,x\nC,0,9\n")
+    assert traces.heavy_values(traces.read_heavy(spark, str(tmp_path / "heavy.csv")), read("A(a,b) AND B(a,c)")) == {"a": {"17"}, "b": {"x"}}
+    w = gen.Workload(pattern=("xy", "yz", "xz"), seconds=5, event_rate=20)
+    assert gen.generate(spark, w).count() == 100 and gen.signature_of(w.pattern) == "A(int,int)\nB(int,int)\nC(int,int)\n" and "xz" not in show(gen.formula_of(w.pattern, 5))
+    with pytest.raises(ValueError):
+        gen.variables_of(("a", "", "b"))
+    said, slept, now = [], [], [0.0]
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    report = gen.replay(facts, lambda r: said.append(r["tp"]), acceleration=2.0, clock=lambda: now[0], sleep=sleep)
+    assert said == [0, 2, 3] and slept == [2.0] and report["rows"] == 3 and report["peak"] == 0.0

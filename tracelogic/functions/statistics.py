@@ -80,3 +80,36 @@ def relevant(facts: DataFrame, formula) -> DataFrame:
                 match = match & (F.get("args", F.lit(i)) == str(t.value))
         ok = ok | match
     return facts.where(ok)
+
+
+def hopping_histogram(facts: DataFrame, frame: int, frames: int) -> DataFrame:
+    """(start, relation, attribute, value, n) over the last ``frames`` frames of ``frame`` seconds that end with each frame.
+
+    start is the window's first second. Frames are counted first, so a fact is repeated only as a count.
+    """
+    counts = facts.select(window_start(F.col("ts"), frame).alias("_f"), "relation", F.posexplode("args").alias("attribute", "value")).groupBy("_f", "relation", "attribute", "value").agg(F.count("*").alias("_n"))
+    spread = counts.withColumn("start", F.explode(F.sequence(F.col("_f") - (frames - 1) * frame, F.col("_f"), F.lit(frame).cast("long"))))
+    return spread.groupBy("start", "relation", "attribute", "value").agg(F.sum("_n").alias("n"))
+
+
+def relation_sizes(hist: DataFrame) -> dict[str, float]:
+    """Facts of each relation by its histogram; one row for each relation comes to the driver."""
+    return {r["relation"]: float(r["n"]) for r in hist.groupBy("relation").agg(F.max("total").alias("n")).collect()}
+
+
+def constant_sizes(relations, size: float = 100.0) -> dict[str, float]:
+    """The same size for every relation, for want of a measurement."""
+    return dict.fromkeys(relations, size)
+
+
+def latencies(rows: DataFrame, by: list[str], column: str) -> DataFrame:
+    """Largest, mean and 99th percentile of a latency column for each group."""
+    return rows.groupBy(*by).agg(F.max(column).alias("peak"), F.avg(column).alias("mean"), F.percentile_approx(column, 0.99).alias("p99"))
+
+
+def moving_average(values, keep: float = 0.9):
+    """Exponentially weighted means of a series, one for each value; the first value starts it."""
+    mean = None
+    for x in values:
+        mean = float(x) if mean is None else keep * mean + (1 - keep) * x
+        yield mean

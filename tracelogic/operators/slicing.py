@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import random
+import subprocess
+import tempfile
 from dataclasses import dataclass, field
 from math import prod
 
@@ -58,6 +61,35 @@ class Slicer:
         masks = [{names[i] for i in range(len(names)) if m >> i & 1} for m in range(1 << len(names))]
         return cls(formula, [shares_of(formula, degree, sizes, set(free_variables(formula)) - on) for on in masks], heavy)
 
+    @classmethod
+    def of_shares(cls, formula: Formula, shares: dict[str, int], seed: int = 1234) -> Slicer:
+        """A slicer with the user's shares; variables that are not named have one."""
+        return cls(formula, [{v: int(shares.get(v, 1)) for v in free_variables(formula)}], seed=seed)
+
+    def to_text(self) -> str:
+        """Heavy values, shares and seed as JSON; of_text() reads it."""
+        return json.dumps({"heavy": {v: sorted(s, key=str) for v, s in sorted(self.heavy.items())}, "shares": self.shares, "seed": self.seed}, sort_keys=True)
+
+    @classmethod
+    def of_text(cls, formula: Formula, text: str) -> Slicer:
+        x = json.loads(text)
+        return cls(formula, x["shares"], {v: set(s) for v, s in x["heavy"].items()}, x["seed"])
+
+    def requires_filter(self) -> bool:
+        """Whether a slice can give verdicts that belong to another: a relation in several atoms, an atom without free variables, or heavy values."""
+        own = list(dict.fromkeys(atoms(self.formula)))
+        free = set(free_variables(self.formula))
+        rigid = any(not free & {t.name for t in a.args if isinstance(t, Var)} for a in own)
+        return bool(self.heavy) or rigid or len({a.relation for a in own}) < len(own)
+
+    def to_all(self, commands: DataFrame) -> DataFrame:
+        """Each command once for each slice."""
+        return commands.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(self.degree - 1))))
+
+    def dealt(self, sliced: DataFrame) -> DataFrame:
+        """sliced with each slice in a partition of its own; no two slices share one."""
+        return sliced.repartitionById(self.degree, F.col("slice"))
+
     @property
     def degree(self) -> int:
         return max(prod(s.values()) for s in self.shares)
@@ -134,6 +166,41 @@ def should_switch(cost_now: float, cost_new: float, per_event: float, shutdown:
     return go, stability / 2 if go else stability + 1
 
 
+def through_process(lines: DataFrame, command: list[str], slices: int) -> DataFrame:
+    """(slice, line) that a process of the command writes for each slice, given its lines (slice, tp, line) in order of tp.
+
+    A task streams a slice's lines to the process; what comes back waits in a file of the task's own.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, process, out = None, None, None
+
+        def end():
+            process.stdin.close()
+            if process.wait():
+                raise RuntimeError(f"{command[0]} ended with {process.returncode}")
+            out.seek(0)
+            got = out.read().decode().splitlines()
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(got), pa.int32()), pa.array(got, pa.string())], ["slice", "line"])
+
+        for b in batches:
+            for k, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if k != now:
+                    if process:
+                        yield end()
+                    now, out = k, tempfile.TemporaryFile()
+                    process = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=out)
+                process.stdin.write((line + "\n").encode())
+        if process:
+            yield end()
+
+    mine = lines.repartitionById(slices, F.col("slice")).sortWithinPartitions("slice", "tp", "line")
+    return mine.select(F.col("slice").cast("int"), "line").mapInArrow(run, "slice int, line string")
+
+
 #: Variable that stands for the slice number in a formula evaluated over all slices at once.
 SLICE = "slice__"
 
@@ -170,4 +237,4 @@ def run_sliced(slicer: Slicer, facts: DataFrame, timepoints: DataFrame, sig) ->
     return out
 
 
-__all__ = ["Slicer", "run_sliced", "shares_of", "should_switch", "slice_load", "slicing_cost"]
+__all__ = ["Slicer", "run_sliced", "through_process", "shares_of", "should_switch", "slice_load", "slicing_cost"]

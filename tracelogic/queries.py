@@ -48,6 +48,9 @@ def events_trace(spark, sf_dir: str, mentions: int = 1) -> tuple[dict[str, DataF
         out[name] = of(kind).select("tp", "ts", F.col("user_id").alias("x0"), F.col("event_id").alias("x1"))
     for name, kind in (("A", "click"), ("B", "view"), ("C", "purchase")):
         out[name] = of(kind).select("tp", "ts", (F.col("user_id") % 50).alias("x0"), (F.col("event_id") % 50).alias("x1"))
+    for name, kind in (("A3", "click"), ("B3", "view"), ("C3", "purchase")):
+        out[name] = of(kind).select("tp", "ts", (F.col("user_id") % 12).alias("x0"), (F.col("event_id") % 12).alias("x1"))
+    out["typed"] = e.select("tp", "ts", F.col("user_id").alias("x0"), F.col("event_type").alias("x1"))
     return out, e.select("tp", "ts")
 
 
@@ -66,7 +69,7 @@ EVENTS_SQL = (
     "WITH e AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS ts, row_number() OVER (ORDER BY ts, event_id) - 1 AS tp FROM events), T AS (SELECT tp, ts FROM e), "
     + ", ".join(f"{k} AS (SELECT DISTINCT tp, ts, user_id AS u FROM e WHERE event_type = '{k}')" for k in TYPES)
     + ", bought AS (SELECT tp, ts, user_id AS u, event_id AS ev FROM e WHERE event_type = 'purchase')"
-    + "".join(f", {n} AS (SELECT tp, ts, user_id % 50 AS x, event_id % 50 AS y FROM e WHERE event_type = '{k}')" for n, k in (("A", "click"), ("B", "view"), ("C", "purchase")))
+    + "".join(f", {n} AS (SELECT tp, ts, user_id % {m} AS x, event_id % {m} AS y FROM e WHERE event_type = '{k}')" for n, k, m in (("A", "click", 50), ("B", "view", 50), ("C", "purchase", 50), ("A3", "click", 12), ("B3", "view", 12), ("C3", "purchase", 12)))
 )
 ORDERS_SQL = (
     "WITH base AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus AS s, datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS ts, dense_rank() OVER (ORDER BY CAST(o_orderdate AS DATE)) - 1 AS tp FROM orders), T AS (SELECT DISTINCT tp, ts FROM base)"
@@ -140,7 +143,10 @@ FORMULAS: dict[str, tuple[str, str, dict, str]] = {
     "and_not_eventually": (E, "purchase(u) AND NOT (EVENTUALLY [60,86400) error(u))", {}, ANTI.format(q="error", c=past("p", "q", 60, 86400, "", -1))),
     "star": (E, "((ONCE [0,3600) A(a,b)) AND B(a,c)) AND EVENTUALLY [0,3600) C(a,d)", {}, PATTERN.format(c="b.y", d=", k.y AS d", ab="b.x = a.x", bc="k.x = a.x")),
     "linear": (E, "((ONCE [0,3600) A(a,b)) AND B(b,c)) AND EVENTUALLY [0,3600) C(c,d)", {}, PATTERN.format(c="b.y", d=", k.y AS d", ab="b.x = a.y", bc="k.x = b.y")),
-    "triangle": (E, "((ONCE [0,3600) A(a,b)) AND B(b,c)) AND EVENTUALLY [0,3600) C(c,a)", {}, PATTERN.format(c="b.y", d="", ab="b.x = a.y", bc="k.x = b.y AND k.y = a.x")),
+    "triangle": (E, "((ONCE [0,3600) A3(a,b)) AND B3(b,c)) AND EVENTUALLY [0,3600) C3(c,a)", {}, PATTERN.format(c="b.y", d="", ab="b.x = a.y", bc="k.x = b.y AND k.y = a.x").replace("FROM A a JOIN B b", "FROM A3 a JOIN B3 b").replace("JOIN C k", "JOIN C3 k")),
+    "string_const": (E, "typed(u, 'error') AND NOT (ONCE [0,7200) typed(u, \"click\"))", {}, f"SELECT p.tp, p.ts, p.u FROM error p WHERE NOT EXISTS (SELECT 1 FROM click q WHERE q.u = p.u AND {past('p', 'q', 0, 7200)})"),
+    "string_bind": (E, "typed(u, k) AND NOT k = 'view' AND ONCE [1,1800) typed(u, 'view')", {}, f"SELECT p.tp, p.ts, p.user_id AS u, p.event_type AS k FROM e p WHERE p.event_type <> 'view' AND EXISTS (SELECT 1 FROM view q WHERE q.u = p.user_id AND {past('p', 'q', 1, 1800)})"),
+    "false_rel": (E, "FALSE OR (EXISTS u. error(u))", {}, "SELECT DISTINCT tp, ts FROM error"),
     "easy": (E, "A(x,y) AND (ONCE [1,1800] B(x,z)) AND (ONCE [1,1800] C(x,q))", {}, f"SELECT DISTINCT a.tp, a.ts, a.x, a.y, b.y AS z, k.y AS q FROM A a JOIN B b ON b.x = a.x AND {past('a', 'b', 1, 1801)} JOIN C k ON k.x = a.x AND {past('a', 'k', 1, 1801)}"),
     "insert_propagation": (O, "O(c, x) AND NOT (EVENTUALLY [0,30) (EXISTS y. (F(c, y) OR P(c, y))))", {}, f"SELECT o.tp, o.ts, o.c, o.k AS x FROM O o WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM F UNION ALL SELECT * FROM P) q WHERE q.c = o.c AND {past('o', 'q', 0, 30, '', -1)})"),
     "delete_propagation": (
@@ -217,6 +223,20 @@ def hypercube_equiv(spark, sf_dir):
     return run_sliced(slicer, facts, facts.select("tp", "ts"), sig)
 
 
+def hypercube_heavy(spark, sf_dir):
+    """The busiest users are heavy, so their facts are dealt by the other variables."""
+    facts = facts_of(spark, sf_dir)
+    busy = [r["user_id"] for r in table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(3).collect()]
+    slicer = Slicer.optimize(read(SLICED), 4, {"purchase": 100.0, "error": 50.0}, {"u": {str(x) for x in busy}})
+    sig = {k: [("u", "string"), ("e", "string")] for k in ("purchase", "error")}
+    return run_sliced(slicer, facts, facts.select("tp", "ts"), sig)
+
+
+def hopping_frequencies(spark, sf_dir):
+    """Counts of users over the last three days at each day."""
+    return st.hopping_histogram(facts_of(spark, sf_dir), 86400, 3).where("attribute = 0").select("start", "relation", "value", "n")
+
+
 def sliced_load(spark, sf_dir):
     return slice_load(Slicer.optimize(read(SLICED), 4, {}).slice_facts(facts_of(spark, sf_dir)), 86400)
 
@@ -242,7 +262,7 @@ HEAVY_SQL = FACTS_SQL + ", tot AS (SELECT ts // 86400 * 86400 AS start, relation
 
 QUERIES = {name: formula_query(name) for name in FORMULAS} | {
     f.__name__: f
-    for f in (collapse_ts, relation_freq, heavy_hitters, heavy_merged, histogram_merge, verdict_lines, csv_roundtrip, database_roundtrip, hypercube_equiv, sliced_load, out_of_order_reorder, generated_triangle)
+    for f in (collapse_ts, relation_freq, heavy_hitters, heavy_merged, histogram_merge, verdict_lines, csv_roundtrip, database_roundtrip, hypercube_equiv, hypercube_heavy, hopping_frequencies, sliced_load, out_of_order_reorder, generated_triangle)
 }
 ORACLES = {name: f"{EVENTS_SQL if kind == E else ORDERS_SQL} {sql}" for name, (kind, _, _, sql) in FORMULAS.items()} | {
     "collapse_ts": EVENTS_SQL + ", d AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS tp FROM (SELECT DISTINCT ts // 86400 AS ts FROM T)) SELECT DISTINCT d.tp, d.ts, p.u FROM purchase p JOIN d ON d.ts = p.ts // 86400 JOIN d b ON b.tp = d.tp - 1 AND d.ts - b.ts < 2 JOIN error q ON q.u = p.u AND q.ts // 86400 = b.ts",
@@ -254,5 +274,7 @@ ORACLES = {name: f"{EVENTS_SQL if kind == E else ORDERS_SQL} {sql}" for name, (k
     "csv_roundtrip": FACTS_SQL + " SELECT relation, tp, ts, a0, a1 FROM facts",
     "database_roundtrip": FACTS_SQL + " SELECT relation, tp, ts, a0, a1 FROM facts",
     "hypercube_equiv": FACTS_SQL + f" SELECT DISTINCT p.tp, p.ts, p.a0 AS u, p.a1 AS a, q.a1 AS b FROM facts p JOIN facts q ON p.relation = 'purchase' AND q.relation = 'error' AND q.a0 = p.a0 AND {past('p', 'q', 0, 86400)}",
+    "hypercube_heavy": FACTS_SQL + f" SELECT DISTINCT p.tp, p.ts, p.a0 AS u, p.a1 AS a, q.a1 AS b FROM facts p JOIN facts q ON p.relation = 'purchase' AND q.relation = 'error' AND q.a0 = p.a0 AND {past('p', 'q', 0, 86400)}",
+    "hopping_frequencies": FACTS_SQL + ", f AS (SELECT relation, a0 AS value, ts // 86400 * 86400 AS d FROM facts) SELECT d - k * 86400 AS start, relation, value, count(*) AS n FROM f, range(0, 3) r(k) GROUP BY ALL",
     "out_of_order_reorder": f"{EVENTS_SQL} {FORMULAS['and_once'][3]}",
 }

@@ -54,6 +54,20 @@ def unquoted(x):
     return F.when(F.regexp_like(x, F.lit(r'^\s*"')), plain).otherwise(F.trim(x))
 
 
+def closed_lines(facts: DataFrame, timepoints: DataFrame, mode: str = "all") -> DataFrame:
+    """tp, last and line of csv lines with ``;;`` behind each time-point (all), each time-stamp (timestamps) or nowhere (none).
+
+    Written in order of (tp, last). Empty time-points get their ``;;`` too.
+    """
+    lines = csv_lines(facts).select("tp", F.lit(0).alias("last"), "line")
+    if mode == "none":
+        return lines
+    if mode not in ("all", "timestamps"):
+        raise ValueError(f"unknown mode {mode}")
+    ends = timepoints.select("tp") if mode == "all" else timepoints.groupBy("ts").agg(F.max("tp").alias("tp")).select("tp")
+    return lines.unionByName(ends.select("tp", F.lit(1).alias("last"), F.lit(";;").alias("line")))
+
+
 def quoted(a, simple: str):
     """a in quotes unless it matches ``simple``."""
     inner = F.replace(F.replace(F.replace(a, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
@@ -163,6 +177,28 @@ def read_trace(spark: SparkSession, path: str, format: str = "csv", sep: str = "
     return parse_plain(numbered, timed=format == "plain-timed")
 
 
+def read_heavy(spark: SparkSession, path: str) -> DataFrame:
+    """(relation, attribute, value) of ``relation,attribute,value`` lines without a header."""
+    return spark.read.csv(path, schema="relation string, attribute int, value string")
+
+
+def heavy_values(rows: DataFrame, formula) -> dict[str, set[str]]:
+    """Heavy values of the formula's free variables, for a Slicer: those of each attribute at which a variable stands."""
+    from ..formula.ast import Var, atoms, free_variables
+
+    free, out = set(free_variables(formula)), {}
+    listed = {(a.relation, i): t.name for a in atoms(formula) for i, t in enumerate(a.args) if isinstance(t, Var) and t.name in free}
+    for r in rows.collect():
+        if (r["relation"], r["attribute"]) in listed:
+            out.setdefault(listed[r["relation"], r["attribute"]], set()).add(r["value"])
+    return out
+
+
+def cut(facts: DataFrame, first: int, last: int) -> DataFrame:
+    """Facts with first <= ts < last."""
+    return facts.where((F.col("ts") >= first) & (F.col("ts") < last))
+
+
 # ---- writers
 
 
