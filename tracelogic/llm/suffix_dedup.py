@@ -249,6 +249,25 @@ def text_key(text):
     return F.xxhash64(F.md5(text), text)
 
 
+def folded(batches, limit: int = 64 << 20):
+    """(key, text, copies) of (key, text) batches, with the copies of about ``limit`` bytes at a time made one row."""
+    held: list[pa.RecordBatch] = []
+
+    def flush():
+        table = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        _, first, copies = np.unique(table["key"].to_numpy(), return_index=True, return_counts=True)
+        for b in table.take(pa.array(first)).append_column("copies", pa.array(copies.astype(np.int64))).to_batches(max_chunksize=5000):
+            yield b
+
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) > limit:
+            yield from flush()
+    if held:
+        yield from flush()
+
+
 def repeated_spans(docs: DataFrame, length: int = 200, partition_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): the bucketed table (key, text, copies) of different texts of ``length`` bytes at least, and
     (key, list of start << 32 | end) for those with repeated spans; copies are not in the list."""
@@ -260,8 +279,11 @@ def repeated_spans(docs: DataFrame, length: int = 200, partition_bytes: int = 32
     total = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(min(50_000, max(1, -(-total // partition_bytes))))
     name = f"texts_{uuid.uuid4().hex}"
-    texts = whole.select(text_key(F.col("text")).alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    texts.repartition(parts, "key").write.option("compression", "zstd").bucketBy(parts, "key").sortBy("key").format("parquet").option("path", f"{scratch.root}/texts").saveAsTable(name)
+    # tasks fold the copies that they see, so a text that very many rows share is exchanged a few times a task; texts
+    # are exchanged once, by the partitioning that the table and the second fold share
+    texts = whole.select(text_key(F.col("text")).alias("key"), "text").mapInArrow(folded, "key long, text string, copies long")
+    texts = texts.repartition(parts, "key").groupBy("key").agg(F.first("text").alias("text"), F.sum("copies").alias("copies"))
+    texts.write.option("compression", "zstd").bucketBy(parts, "key").sortBy("key").format("parquet").option("path", f"{scratch.root}/texts").saveAsTable(name)
     texts = spark.table(name)
     # the catalog's entry has done its work; the files stay in the shared folder
     spark.sql(f"DROP TABLE {name}")
