@@ -74,20 +74,43 @@ def quoted(a, simple: str):
     return F.when(F.regexp_like(a, F.lit(simple)), a).otherwise(F.concat(F.lit('"'), inner, F.lit('"')))
 
 
-def parse_csv(text: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``R, tp=1, ts=2, x0=a, ...`` lines (column value). Argument names don't count; ``;;`` and ``>...<`` lines are no facts.
+def parse_csv(text: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """``R, tp=1, ts=2, x0=a, ...`` lines (column value; ``keep`` are further columns that come along). Argument names
+    don't count; ``;;`` and ``>...<`` lines are no facts.
 
     Empty values are values; only a comma with nothing behind it, after ts, is no argument. Works on streams too.
     """
     parts = F.regexp_extract_all(F.concat("value", F.lit(",")), F.lit(f"({VALUE}),"), F.lit(1))
     after = lambda x: unquoted(F.regexp_replace(x, r'^[^="]*=', ""))
-    rows = text.where(F.regexp_like("value", F.lit(r"^\s*[^>;\s][^,]*,\s*tp\s*="))).select(parts.alias("p"))
+    rows = text.where(F.regexp_like("value", F.lit(r"^\s*[^>;\s][^,]*,\s*tp\s*="))).select(*keep, parts.alias("p"))
     args = F.slice("p", 4, F.size("p"))
     none = (F.size("p") == 4) & (F.trim(F.get("p", F.lit(3))) == "")
-    facts = rows.select(F.trim(F.get("p", F.lit(0))).alias("relation"), after(F.get("p", F.lit(1))).cast("long").alias("tp"), after(F.get("p", F.lit(2))).cast("long").alias("ts"), F.when(none, F.array().cast("array<string>")).otherwise(F.transform(args, after)).alias("args"))
+    facts = rows.select(*keep, F.trim(F.get("p", F.lit(0))).alias("relation"), after(F.get("p", F.lit(1))).cast("long").alias("tp"), after(F.get("p", F.lit(2))).cast("long").alias("ts"), F.when(none, F.array().cast("array<string>")).otherwise(F.transform(args, after)).alias("args"))
     return facts, facts.select("tp", "ts").distinct()
 
 
+def parse_commands(text: DataFrame) -> DataFrame:
+    """text's columns with command and arguments (array) of its ``>NAME a b<`` lines (column value), such as START,
+    WATERMARK, EOF, LATENCY or set_slicer; null on other lines. Works on streams too."""
+    inside = F.regexp_extract("value", r"^\s*>(.*)<\s*$", 1)
+    is_command = F.regexp_like("value", F.lit(r"^\s*>\s*\S.*<\s*$"))
+    parts = F.split(F.trim(inside), r"\s+")
+    return text.withColumn("command", F.when(is_command, parts[0])).withColumn("arguments", F.when(is_command, F.slice(parts, 2, F.size(parts))))
+
+
+def command_line(name: str, *arguments) -> str:
+    return ">" + " ".join([name, *map(str, arguments)]) + "<"
+
+
+def source_rows(text: DataFrame) -> DataFrame:
+    """Rows (source, command, value, relation, tp, ts, args) of csv lines (columns source, value): facts and commands
+    with a number, as streaming.reorder takes them."""
+    named = parse_commands(text)
+    said = named.where("command is not null").select("source", "command", F.get("arguments", F.lit(0)).try_cast("long").alias("value"), *[F.lit(None).cast(t).alias(c) for c, t in (("relation", "string"), ("tp", "long"), ("ts", "long"), ("args", "array<string>"))])
+    facts, _ = parse_csv(text, keep=("source",))
+    return said.unionByName(facts.select("source", F.lit(None).cast("string").alias("command"), F.lit(None).cast("long").alias("value"), "relation", "tp", "ts", "args"))
+
+
 def parse_plain(text: DataFrame, timed: bool = False) -> tuple[DataFrame, DataFrame]:
     """``R,a,b[,ts]`` lines (columns n, value): each event is its own time-point, numbered by n from 0."""
     parts = F.split("value", ",")
@@ -182,13 +205,16 @@ def read_heavy(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema="relation string, attribute int, value string")
 
 
-def heavy_values(rows: DataFrame, formula) -> dict[str, set[str]]:
-    """Heavy values of the formula's free variables, for a Slicer: those of each attribute at which a variable stands."""
+def heavy_values(rows: DataFrame | list, formula) -> dict[str, set[str]]:
+    """Heavy values of the formula's free variables, for a Slicer: those of each attribute at which a variable stands.
+
+    rows (relation, attribute, value): a table or rows of one.
+    """
     from ..formula.ast import Var, atoms, free_variables
 
     free, out = set(free_variables(formula)), {}
     listed = {(a.relation, i): t.name for a in atoms(formula) for i, t in enumerate(a.args) if isinstance(t, Var) and t.name in free}
-    for r in rows.collect():
+    for r in rows.collect() if isinstance(rows, DataFrame) else rows:
         if (r["relation"], r["attribute"]) in listed:
             out.setdefault(listed[r["relation"], r["attribute"]], set()).add(r["value"])
     return out
@@ -209,10 +235,10 @@ def linearized(facts: DataFrame) -> DataFrame:
     return number(facts.drop("tp").withColumn("_tp", facts["tp"]), ["_tp", "relation", "args"], "_tp", 1).drop("_tp").select("relation", "tp", "ts", "args")
 
 
-def csv_lines(facts: DataFrame) -> DataFrame:
-    """tp and line of each fact in the csv format."""
+def csv_lines(facts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """tp and line of each fact in the csv format; ``keep`` are further columns that come along."""
     args = F.array_join(F.transform("args", lambda a, i: F.concat(F.lit(", x"), i.cast("string"), F.lit("="), quoted(a, CLEAN))), "")
-    return facts.select("tp", F.concat("relation", F.lit(", tp="), F.col("tp").cast("string"), F.lit(", ts="), F.col("ts").cast("string"), args).alias("line"))
+    return facts.select(*keep, "tp", F.concat("relation", F.lit(", tp="), F.col("tp").cast("string"), F.lit(", ts="), F.col("ts").cast("string"), args).alias("line"))
 
 
 def database_lines(facts: DataFrame, timepoints: DataFrame) -> DataFrame:
