@@ -11,7 +11,8 @@
    buckets as pairs, in large ones block by block, inside tasks that emit links only. So no candidate pair whose link
    could join two components is left out.
 
-A pair at similarity 0.75 is missed with probability (1 - 0.75**ROWS)**BANDS, 5e-6; class ids are 64-bit hashes of sets.
+A pair at similarity 0.75 is missed with probability (1 - 0.75**ROWS)**BANDS, 5e-6. Class ids are half of a 128-bit hash of
+the set; the other half tells unlike sets with one id apart, and they get ids of their own.
 """
 
 from __future__ import annotations
@@ -91,12 +92,14 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def class_of(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digest(s: np.ndarray) -> tuple[int, int]:
+    """The two halves of a set's 128-bit hash: class id and check."""
+    raw = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, key, text_hash, n, cls, bands) of each row; cls and bands are null for texts without words.
+def sketch(docs: DataFrame, k: int, id_bits: int) -> DataFrame:
+    """(doc_id, key, text_hash, n, cls, check, bands) of each row; the last three are null for texts without words.
 
     key finds the row again: doc_id, or a hash of the text where that is null.
     """
@@ -106,14 +109,33 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
             sets = shingle_sets(b.column(3), k)
             full = [i for i, s in enumerate(sets) if len(s)]
             cls: list = [None] * len(sets)
+            check: list = [None] * len(sets)
             band: list = [None] * len(sets)
             for at in range(0, len(full), 2000):
                 part = full[at : at + 2000]
                 for i, v in zip(part, bands(signatures([sets[i] for i in part])), strict=True):
-                    cls[i], band[i] = class_of(sets[i]), v
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "key", "text_hash", "n", "cls", "bands"])
+                    cls[i], check[i] = digest(sets[i])
+                    cls[i] >>= 64 - id_bits
+                    band[i] = v
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(check, pa.int64()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "key", "text_hash", "n", "cls", "check", "bands"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, key long, text_hash long, n long, cls long, bands array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, key long, text_hash long, n long, cls long, check long, bands array<long>")
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """One row of each class; clash tells whether unlike sets share its id."""
+    return rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("bands").alias("bands"), F.min("check").alias("check"), (F.min("check") != F.max("check")).alias("clash"))
+
+
+def told_apart(rows: DataFrame, classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """rows and classes with ids of their own for unlike sets that share one: none as a rule, a few among 1e10 sets."""
+    clash = scratch.save(classes.where("clash").select(F.col("cls").alias("_clash")))
+    n = clash.count()
+    if not n:
+        return rows, classes
+    rows = rows.join(F.broadcast(clash) if n <= BROADCAST_ROWS else clash, F.col("cls") == F.col("_clash"), "left")
+    rows = scratch.save(rows.withColumn("cls", F.when(F.col("_clash").isNull(), F.col("cls")).otherwise(F.xxhash64("cls", "check"))).drop("_clash"))
+    return rows, scratch.save(classes_of(rows))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -122,17 +144,17 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(cls, set) of the wanted classes, each read from the row that key names."""
+    """(cls, set) of the wanted classes (cls, key, check), each read from the row that key names."""
     few = wanted.count() <= BROADCAST_ROWS
     rows = keyed(docs).select("key", "text").join(F.broadcast(wanted) if few else wanted, "key")
 
     def run(batches):
         for b in batches:
             sets = shingle_sets(b.column(0), k)
-            keep = [(c, s.tobytes()) for c, s in zip(b.column(1).to_pylist(), sets, strict=True) if len(s) and class_of(s) == c]
+            keep = [(c, s.tobytes()) for c, x, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), sets, strict=True) if len(s) and digest(s)[1] == x]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in keep], pa.int64()), pa.array([s for _, s in keep], pa.binary())], ["cls", "set"])
 
-    return rows.select("text", "cls").mapInArrow(run, "cls long, set binary")
+    return rows.select("text", "cls", "check").mapInArrow(run, "cls long, set binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -181,7 +203,7 @@ def star_rows(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return members.unionByName(centers)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, pairs_up_to: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, pairs_up_to: int = 32, id_bits: int = 64) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept, text_hash, chosen.
 
     Null and empty texts, and texts of white space, have no shingles and are linked with nothing; they are kept, with
@@ -189,19 +211,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, pairs_up_to:
     is never a component's smallest while another is there; a component of null ids alone has a null component_id and
     kept is true. Different texts under one doc_id are compared each by itself. ``chosen`` holds for one text of each
     component: of those with the component's doc_id the one with the smallest text_hash (xxhash64). Rows that repeat
-    doc_id and text are answered alike. Extra columns are ignored; empty tables give none.
+    doc_id and text are answered alike. Extra columns are ignored; empty tables give none. ``id_bits`` is the length of
+    the class ids; the result doesn't depend on it.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rows = scratch.save(sketch(docs.select("doc_id", "text"), k))
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("bands").alias("bands"))
-    classes = scratch.save(classes)
+    rows = scratch.save(sketch(docs.select("doc_id", "text"), k, id_bits))
+    rows, classes = told_apart(rows, scratch.save(classes_of(rows)), scratch)
     spread = classes.select("cls", F.explode("bands").alias("h"))
     shared = spread.groupBy("h").agg(F.min("cls").alias("center"), F.max("cls").alias("_last")).where("center <> _last").drop("_last")
     buckets = scratch.save(spread.join(shared, "h"))
     stars = scratch.save(buckets.where("cls <> center").select("center", F.col("cls").alias("member")).distinct())
     wanted = stars.select(F.col("center").alias("cls")).unionByName(stars.select(F.col("member").alias("cls"))).distinct()
-    sets = scratch.save(sets_of(docs, classes.select("cls", "key").join(wanted, "cls"), k).dropDuplicates(["cls"]))
+    sets = scratch.save(sets_of(docs, classes.select("cls", "key", "check").join(wanted, "cls"), k).dropDuplicates(["cls"]))
     links = scratch.save(confirm(star_rows(stars, sets), percent))
     roots = scratch.save(components(links, scratch))
     # candidates whose components differ still
