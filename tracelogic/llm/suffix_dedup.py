@@ -245,8 +245,18 @@ def spans_of(batches, length: int):
         yield batch(got)
 
 
-def text_key(text):
-    return F.xxhash64(F.md5(text), text)
+def text_key(text, clashes: list[int] = (), key_bits: int = 64):
+    """A text's 64-bit key; the keys in ``clashes`` stand for several texts and are told apart by a second hash."""
+    key = F.shiftright(F.xxhash64(text), 64 - key_bits)
+    return F.when(key.isin(list(clashes)), F.xxhash64(key, F.md5(text))).otherwise(key) if clashes else key
+
+
+def survey(whole: DataFrame, key_bits: int) -> tuple[int, list[int]]:
+    """Bytes of all texts, and the keys that different texts share: none as a rule, a few among 1e10 texts."""
+    check = F.xxhash64(F.md5("text"))
+    each = whole.groupBy(text_key(F.col("text"), key_bits=key_bits).alias("key")).agg(F.min(check).alias("lo"), F.max(check).alias("hi"), F.sum(F.octet_length("text")).alias("n"))
+    total, clashes = each.agg(F.sum("n"), F.collect_list(F.when(F.col("lo") != F.col("hi"), F.col("key")))).first()
+    return total or 0, clashes
 
 
 def folded(batches, limit: int = 64 << 20):
@@ -268,20 +278,21 @@ def folded(batches, limit: int = 64 << 20):
         yield from flush()
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, partition_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): the bucketed table (key, text, copies) of different texts of ``length`` bytes at least, and
-    (key, list of start << 32 | end) for those with repeated spans; copies are not in the list."""
+def repeated_spans(docs: DataFrame, length: int = 200, partition_bytes: int = 32 << 20, key_bits: int = 64) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(texts, spans, clashes): the bucketed table (key, text, copies) of different texts of ``length`` bytes at least,
+    (key, list of start << 32 | end) for those with repeated spans, where copies are not in the list, and the keys that
+    text_key() has to tell apart."""
     if not GRAM <= length < GRAM + 256:
         raise ValueError(f"length must be {GRAM} to {GRAM + 255} bytes, as offsets of anchors are kept in 8 bits: {length}")
     spark = docs.sparkSession
     scratch = Scratch(spark)
     whole = docs.select("text").where(F.octet_length("text") >= length)
-    total = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total, clashes = survey(whole, key_bits)
     parts = int(min(50_000, max(1, -(-total // partition_bytes))))
     name = f"texts_{uuid.uuid4().hex}"
     # tasks fold the copies that they see, so a text that very many rows share is exchanged a few times a task; texts
     # are exchanged once, by the partitioning that the table and the second fold share
-    texts = whole.select(text_key(F.col("text")).alias("key"), "text").mapInArrow(folded, "key long, text string, copies long")
+    texts = whole.select(text_key(F.col("text"), clashes, key_bits).alias("key"), "text").mapInArrow(folded, "key long, text string, copies long")
     texts = texts.repartition(parts, "key").groupBy("key").agg(F.first("text").alias("text"), F.sum("copies").alias("copies"))
     texts.write.option("compression", "zstd").bucketBy(parts, "key").sortBy("key").format("parquet").option("path", f"{scratch.root}/texts").saveAsTable(name)
     texts = spark.table(name)
@@ -373,7 +384,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, partition_bytes: int = 32
     lists = picked.groupBy("key").agg(F.collect_list("code").alias("codes"))
     runs = texts.select("key", "text").join(lists, "key").select("key", "text", "codes").mapInArrow(cut, "pid int, run binary")
     found = runs.repartition(parts, "pid").sortWithinPartitions("pid").mapInArrow(lambda b: spans_of(b, length), "key long, span long")
-    return texts, scratch.save(found.groupBy("key").agg(F.collect_list("span").alias("spans")))
+    return texts, scratch.save(found.groupBy("key").agg(F.collect_list("span").alias("spans"))), clashes
 
 
 def union_of(spans: list[int] | None) -> list[tuple[int, int]]:
@@ -388,15 +399,15 @@ def union_of(spans: list[int] | None) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, partition_bytes: int = 32 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, partition_bytes: int = 32 << 20, key_bits: int = 64) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of start, end in bytes).
 
     Other lengths than 48 to 303 are an error.
     Null is empty; texts shorter than ``length`` lose nothing. Of repeated rows and equal texts every one is removed
-    whole (they start anywhere else). Extra columns are ignored; empty tables give none. Text keys are 64-bit hashes:
-    two different texts share one with probability 2**-64 a pair.
+    whole (they start anywhere else). Extra columns are ignored; empty tables give none. Texts are told apart by two
+    64-bit hashes; ``key_bits`` is the length of the first, and the result doesn't depend on it.
     """
-    texts, spans = repeated_spans(docs, length, partition_bytes)
+    texts, spans, clashes = repeated_spans(docs, length, partition_bytes, key_bits)
 
     def strip(batches):
         for b in batches:
@@ -416,7 +427,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, partition_bytes: int = 32
     answer = texts.join(spans, "key", "left").select("key", "text", "copies", "spans").mapInArrow(strip, "key long, n_removed long, n_spans long, kept string, spans array<struct<start:long,end:long>>")
     text = F.coalesce("text", F.lit(""))
     n = F.octet_length(text)
-    rows = docs.select("doc_id", n.cast("long").alias("n_bytes"), F.when(n >= length, text_key(text)).otherwise(F.xxhash64("doc_id", F.lit("short"))).alias("key"), F.when(n < length, F.sha2(text, 256)).alias("_short"))
+    rows = docs.select("doc_id", n.cast("long").alias("n_bytes"), F.when(n >= length, text_key(text, clashes, key_bits)).otherwise(F.xxhash64("doc_id", F.lit("short"))).alias("key"), F.when(n < length, F.sha2(text, 256)).alias("_short"))
     long = F.col("_short").isNull()  # short texts have keys of their own, so they don't meet in one task, and no answer
     return rows.join(answer, "key", "left").select(
         "doc_id", "n_bytes", F.coalesce(F.when(long, F.col("n_removed")), F.lit(0).cast("long")).alias("n_removed"), F.coalesce(F.when(long, F.col("n_spans")), F.lit(0).cast("long")).alias("n_spans"),
