@@ -8,7 +8,7 @@ their own length, and each occurring length is winnowed by itself.
 
 The benchmark is read in blocks of at most ``block_words`` words. Each block's index (a few dozen bytes a word) goes
 to the executors; documents are then scanned without any shuffle. One block is the rule; further blocks add one scan
-each and are merged by document.
+each and are merged by document. The driver holds one block at a time.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, byte_chunks, grams, prefix_hashes, span_hashes, words
+from .common import ALNUM, LOWER, Scratch, byte_chunks, grams, prefix_hashes, span_hashes, words
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -132,15 +132,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     other columns of the benchmark, are ignored.
     """
     spark = docs.sparkSession
-    blocks: list[list[tuple[str, str | None]]] = [[]]
-    held = 0
-    for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text").toLocalIterator():
-        n = len(r["text"] or "") // 2 + 1
-        if held + n > block_words and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r["i"], r["text"]))
-        held += n
+    blocks = blocks_of(benchmark, block_words)
+    first, second = next(blocks, []), next(blocks, None)
     along = [f"_c{i}" for i in range(len(carry))]
     source = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(a) for c, a in zip(carry, along, strict=True)])
     kinds = "".join(f", {a} {source.schema[a].dataType.simpleString()}" for a in along)
@@ -158,10 +151,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
         return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_words long, hit array<int>, items array<string>{kinds}")
 
-    if len(blocks) == 1:
-        found = over(blocks[0])
+    if second is None:
+        found = over(first)
     else:
-        found = merged(source, along, [over_block(spark, source, b, window) for b in blocks])
+        scratch = Scratch(spark)
+        parts = [over_block(scratch, source, first, window), over_block(scratch, source, second, window)]
+        del first, second
+        found = merged(source, along, [*parts, *(over_block(scratch, source, b, window) for b in blocks)])
     items = F.array_sort("items")
     return found.select(
         "doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -170,9 +166,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     )
 
 
-def over_block(spark, source: DataFrame, block: list, window: int) -> DataFrame:
-    """Hits of one of several blocks, for the texts that have any, once for each different text."""
-    held = spark.sparkContext.broadcast(Index(block, window))
+def blocks_of(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, str | None]]]:
+    """Items in blocks of at most ``block_words`` words; a longer item is a block of its own."""
+    block: list[tuple[str, str | None]] = []
+    held = 0
+    for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text").toLocalIterator():
+        n = len(r["text"] or "") // 2 + 1
+        if held + n > block_words and block:
+            yield block
+            block, held = [], 0
+        block.append((r["i"], r["text"]))
+        held += n
+    if block:
+        yield block
+
+
+def over_block(scratch: Scratch, source: DataFrame, block: list, window: int) -> DataFrame:
+    """Hits of one of several blocks, for the texts that have any, once for each different text, as a table."""
+    held = scratch.spark.sparkContext.broadcast(Index(block, window))
 
     def run(batches):
         for b in batches:
@@ -180,7 +191,9 @@ def over_block(spark, source: DataFrame, block: list, window: int) -> DataFrame:
             got = [(hashlib.sha256((texts[r].as_py() or "").encode("utf-8", "surrogatepass")).hexdigest(), h, i) for r, _, h, i in scan(held.value, texts) if i]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.list_(pa.int32())), pa.array([x[2] for x in got], pa.list_(pa.string()))], ["_text", "_hit", "_items"])
 
-    return source.select("text").mapInArrow(run, "_text string, _hit array<int>, _items array<string>").dropDuplicates(["_text"])
+    found = scratch.save(source.select("text").mapInArrow(run, "_text string, _hit array<int>, _items array<string>").dropDuplicates(["_text"]))
+    held.destroy()
+    return found
 
 
 def merged(source: DataFrame, along: list[str], parts: list[DataFrame]) -> DataFrame:
