@@ -60,13 +60,13 @@ def test_decontamination_in_blocks(spark):
     assert one == many
 
 
-@pytest.mark.parametrize("limits", [(32, 2000, 200), (2, 2, 2)])
+@pytest.mark.parametrize("limits", [(32, 2000, 200, 64), (2, 2, 2, 64), (32, 2000, 200, 3)])
 def test_near_duplicates(spark, monkeypatch, limits):
-    small, block, held = limits
+    small, block, held, bits = limits
     monkeypatch.setattr(minhash, "BLOCK", block)
     monkeypatch.setattr(minhash, "HELD", held)
     texts = some_texts(80)
-    got = {r["doc_id"]: r for r in minhash.near_duplicates(frame(spark, texts), pairs_up_to=small).collect()}
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(frame(spark, texts), pairs_up_to=small, id_bits=bits).collect()}
     sets = []
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -92,13 +92,13 @@ def test_near_duplicates_of_nothing(spark):
     assert sorted(map(str, minhash.near_duplicates(null).select("component_id", "kept").collect())) == sorted(["Row(component_id=3, kept=False)", "Row(component_id=3, kept=True)", "Row(component_id=None, kept=True)"])
 
 
-@pytest.mark.parametrize("parts", [1 << 25, 4000])
-def test_suffix_dedup(spark, parts):
+@pytest.mark.parametrize(("parts", "bits"), [(1 << 25, 64), (4000, 64), (4000, 1)])
+def test_suffix_dedup(spark, parts, bits):
     r = random.Random(5)
     noise = lambda n: "".join(r.choice("abcdé fgh") for _ in range(n))
     shared = noise(450)
     texts = [None, "", "short", "ab" * 300, noise(900), noise(100) + shared + noise(50), shared[100:390] + noise(10), noise(30) + shared[200:] + noise(300), shared[:198], "same" * 60, "same" * 60, noise(400) + shared[:220] + noise(7) + shared[230:]]
-    got = {x["doc_id"]: x for x in suffix_dedup.remove_repeats(frame(spark, texts), partition_bytes=parts).collect()}
+    got = {x["doc_id"]: x for x in suffix_dedup.remove_repeats(frame(spark, texts), partition_bytes=parts, key_bits=bits).collect()}
     raws = [(t or "").encode() for t in texts]
     seen = Counter(b[p : p + 200] for b in raws for p in range(len(b) - 199))
     for i, b in enumerate(raws):
