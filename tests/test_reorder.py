@@ -160,6 +160,7 @@ def test_tools_command_line(spark, tmp_path):
     assert len(go("simulate", "--trace", path, "--formula", FORMULA, "--degree", 4)) == 241
     cli.main(["split", "--trace", path, "--sources", "2", "--out", str(tmp_path / "out")])
     assert sorted(p.name for p in (tmp_path / "out").glob("source=*")) == ["source=0", "source=1"]
+    assert go("convert", "--trace", path, "--to", "plain")[:2] == ["q,1,0", "p,1,1"] and len(go("convert", "--trace", path, "--to", "plain-timed")) == 240
     got = []
     o = cli.options(["replay", "--trace", path, "--to", "databases", "--acceleration", "0"])
     assert cli.replayed(spark, o, got.append)["rows"] == 240 and got[0].startswith("@0 ")

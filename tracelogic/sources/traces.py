@@ -232,7 +232,7 @@ def linearized(facts: DataFrame) -> DataFrame:
     """Every event becomes its own time-point, in order of tp."""
     from ..monitor import number
 
-    return number(facts.drop("tp").withColumn("_tp", facts["tp"]), ["_tp", "relation", "args"], "_tp", 1).drop("_tp").select("relation", "tp", "ts", "args")
+    return number(facts.withColumnRenamed("tp", "_tp"), ["_tp", "relation", "args"], "_tp", 1).select("relation", "tp", "ts", "args")
 
 
 def csv_lines(facts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
