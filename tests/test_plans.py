@@ -57,3 +57,30 @@ def test_one_long_key_takes_linear_time(spark):
         Monitor("Q(x) AND NOT EVENTUALLY [0,30) P(x)").run(relations, times).count()
         took.append(time.time() - began)
     assert took[1] < 5 * took[0] + 4
+
+
+GUARDED = [
+    "Q(x) AND (P(x) RELEASE [0,6) (NOT S(x)))", "Q(x) AND (P(x) RELEASE [1,5) (NOT S(x)))", "Q(x) AND (P(x) RELEASE [2,*) (NOT S(x)))",
+    "Q(x) AND ((NOT P(x)) SINCE [0,6) S(x))", "Q(x) AND ((NOT P(x)) UNTIL [2,6) S(x))", "Q(x) AND NOT ((NOT P(x)) SINCE [1,*) S(x))", "Q(x) AND NOT ((NOT P(x)) UNTIL [0,4) S(x))", "Q(x) AND ((NOT (EXISTS y. P(y))) SINCE [0,6) (EXISTS y. S(y)))",
+]
+
+
+def joined(df):
+    """Joins in the plan of a query."""
+    return [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+
+
+@pytest.mark.parametrize("formula", GUARDED)
+def test_guarded_since_and_until_meet_no_other_time_point(spark, formula):
+    """Under a guard only the guard's rows are asked, so no row is made for each time-point in the interval."""
+    r = random.Random(formula)
+    facts, tps, ts = [], [], 5
+    for _ in range(24):
+        ts += r.choice([0, 0, 1, 1, 2])
+        tps.append(ts)
+        facts.append({(k, (x,)) for k, p in (("P", 0.15), ("Q", 0.5), ("S", 0.25)) for x in range(2) if r.random() < p})
+    relations = {k: spark.createDataFrame([(i, tps[i], *a) for i, day in enumerate(facts) for name, a in day if name == k], "tp long, ts long, x0 long") for k in "PQS"}
+    out = Monitor(formula).run(relations, spark.createDataFrame(list(enumerate(tps)), "tp long, ts long"))
+    assert {(x["tp"], *x[2:]) for x in out.collect()} == verdicts(read(formula), tps, facts)
+    assert out.count() == out.distinct().count()
+    assert not joined(out)

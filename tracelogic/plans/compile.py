@@ -169,6 +169,8 @@ class Compiler:
             return self.lacking(df, f.arg)
         if isinstance(f, (Once, Eventually)) and bounded(f.arg):
             return self.near(df, self.plan(f.arg), f.interval, isinstance(f, Once), "inner")
+        if self.one_pass(df, f):
+            return self.near_since(df, f, True)
         if bounded(f):
             shared = [c for c in names(f) if c in df.columns]
             how = "left_semi" if len(shared) == len(names(f)) else "inner"
@@ -185,6 +187,8 @@ class Compiler:
             return self.near(df, self.plan(f.arg), f.interval, isinstance(f, Once), "left_anti")
         if isinstance(f, (Trigger, Release)):
             return self.holds(df, dual(f))
+        if self.one_pass(df, f):
+            return self.near_since(df, f, False)
         if bounded(f):
             return df.join(self.plan(f), [*TIME, *names(f)], "left_anti")
         return df.join(self.holds(df, f), df.columns, "left_anti")
@@ -294,6 +298,40 @@ class Compiler:
         joined = df.join(theirs, keys) if keys else df.join(theirs, F.lit(True))
         return joined.where(ok).drop("_tp", "_ts", "_b")
 
+    @staticmethod
+    def one_pass(df: DataFrame, f: Formula) -> bool:
+        """Whether f is (NOT alpha) SINCE or UNTIL beta of equal variables that df binds, and its rows can be dealt out."""
+        if not (isinstance(f, (Since, Until)) and isinstance(f.left, Not) and bounded(f)):
+            return False
+        keys = set(names(f))
+        return set(names(f.left)) == keys <= set(variables(df)) and (f.interval.hi is not None or bool(keys))
+
+    def near_since(self, df: DataFrame, f: Since | Until, keep: bool) -> DataFrame:
+        """Rows of df with (keep) or without (NOT alpha) SINCE/UNTIL beta, from the nearest beta and the nearest alpha.
+
+        The nearest beta that the lower bound admits decides: one beyond it is farther away and has more alphas between.
+        """
+        past, i, keys = isinstance(f, Since), f.interval, names(f)
+        sign = 1 if past else -1
+        own = df.withColumn("_o", F.col("ts") * sign)
+        beta = self.plan(f.right).select(*TIME, *keys, (F.col("ts") * sign + i.lo).alias("_o"), F.struct(*TIME).alias("_beta"))
+        alpha = self.plan(f.left.arg).select(*TIME, *keys, (F.col("ts") * sign).alias("_o"), F.col("tp").alias("_alpha"))
+        part = list(keys)
+        if i.hi is not None:
+            # alphas beyond the interval are beyond the beta too
+            width = max(1, i.hi)
+            spread = lambda d, lo: d.withColumn("_b", F.explode(F.sequence(*[bucket(F.col("ts") + x, width) for x in ((lo, i.hi - 1) if past else (1 - i.hi, -lo))])))
+            own, beta, alpha = own.withColumn("_b", bucket(F.col("ts"), width)), spread(beta, i.lo), spread(alpha, 0)
+            part.append("_b")
+        both = own.withColumn("_q", F.lit(True)).unionByName(beta, allowMissingColumns=True).unionByName(alpha, allowMissingColumns=True)
+        pick, by_tp = (F.max, F.col("tp")) if past else (F.min, F.desc("tp"))
+        frame = lambda c: Window.partitionBy(*part).orderBy(c).rangeBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn("_beta", pick("_beta").over(frame(F.col("_o") if i.lo else by_tp))).withColumn("_alpha", pick("_alpha").over(frame(by_tp)))
+        near = within((F.col("ts") - F.col("_beta.ts")) * sign, i)
+        clear = F.col("_alpha").isNull() | ((F.col("_alpha") <= F.col("_beta.tp")) if past else (F.col("_alpha") >= F.col("_beta.tp")))
+        ok = F.coalesce(near & clear, F.lit(False))
+        return both.where("_q").where(ok if keep else ~ok).select(*df.columns)
+
     # ---- SINCE and UNTIL
 
     def _since(self, f: Since | Until) -> DataFrame:
