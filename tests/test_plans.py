@@ -60,7 +60,7 @@ def test_one_long_key_takes_linear_time(spark):
 
 
 GUARDED = [
-    "Q(x) AND (P(x) RELEASE [0,6) (NOT S(x)))", "Q(x) AND (P(x) RELEASE [1,5) (NOT S(x)))", "Q(x) AND (P(x) RELEASE [2,*) (NOT S(x)))",
+    "Q(x) AND (P(x) TRIGGER [0,6) (NOT S(x)))", "Q(x) AND (P(x) RELEASE [0,6) (NOT S(x)))", "Q(x) AND (P(x) TRIGGER [2,6) (NOT S(x)))", "Q(x) AND (P(x) RELEASE [1,5) (NOT S(x)))", "Q(x) AND (P(x) TRIGGER [0,*) (NOT S(x)))", "Q(x) AND (P(x) RELEASE [2,*) (NOT S(x)))",
     "Q(x) AND ((NOT P(x)) SINCE [0,6) S(x))", "Q(x) AND ((NOT P(x)) UNTIL [2,6) S(x))", "Q(x) AND NOT ((NOT P(x)) SINCE [1,*) S(x))", "Q(x) AND NOT ((NOT P(x)) UNTIL [0,4) S(x))", "Q(x) AND ((NOT (EXISTS y. P(y))) SINCE [0,6) (EXISTS y. S(y)))",
 ]
 
