@@ -84,3 +84,20 @@ def test_guarded_since_and_until_meet_no_other_time_point(spark, formula):
     assert {(x["tp"], *x[2:]) for x in out.collect()} == verdicts(read(formula), tps, facts)
     assert out.count() == out.distinct().count()
     assert not joined(out)
+
+
+@pytest.mark.parametrize("formula", ["(NOT P(x)) SINCE [0,6) Q(x)", "(NOT P(x)) SINCE [2,*) Q(x)"])
+def test_rows_of_a_time_point_come_together(spark, monkeypatch, formula):
+    """Rows aren't exchanged once made, none comes up twice, and those of one time-point and block follow each other."""
+    monkeypatch.setattr(plans, "BLOCK", 4)
+    r = random.Random(formula)
+    tps = sorted(r.randint(0, 30) for _ in range(40))
+    facts = [{("Q", (x,)) for x in range(6) if r.random() < 0.3} | {("P", (x,)) for x in range(6) if r.random() < 0.05} for _ in tps]
+    relations = {k: spark.createDataFrame([(i, tps[i], *a) for i, day in enumerate(facts) for name, a in day if name == k], "tp long, ts long, x0 long") for k in "PQ"}
+    out = Monitor(formula).run(relations, spark.createDataFrame(list(enumerate(tps)), "tp long, ts long"))
+    rows = [tuple(x) for x in out.collect()]
+    assert len(rows) == len(set(rows)) and {(tp, x) for tp, _, x in rows} == verdicts(read(formula), tps, facts)
+    top = out._jdf.queryExecution().optimizedPlan().toString().split("Join ")[0]
+    assert "Generate inline" in top and "Aggregate" not in top
+    turns = sum(a[0] != b[0] for a, b in zip(rows, rows[1:]))
+    assert turns < 0.7 * len(rows)

@@ -19,6 +19,8 @@ from ..formula.ast import ANY, And, Compare, Const, Eventually, Exists, Forall,
 TIME = ["tp", "ts"]
 #: Time-points (or seconds) that are sorted in one task.
 BUCKET = 1 << 16
+#: Hits that meet the time-points together.
+BLOCK = 64
 
 
 def variables(df: DataFrame) -> list[str]:
@@ -231,11 +233,7 @@ class Compiler:
         sign = 1 if past else -1
         ok = within((F.col("ts") - F.col("_ts")) * sign, i) & ((F.col("tp") >= F.col("_tp")) if past else (F.col("tp") <= F.col("_tp")))
         if i.hi is not None:
-            if i.lo == 0:
-                later = (F.col("tp") < F.col("_n")) if past else (F.col("tp") > F.col("_n"))
-            else:
-                later = (F.col("ts") < F.col("_n") + i.lo) if past else (F.col("ts") > F.col("_n") - i.lo)
-            ok = ok & (F.col("_n").isNull() | later)
+            ok = ok & before(i, past)
         return out.where(ok).select(*TIME, *keys)
 
     _eventually = _once
@@ -249,8 +247,17 @@ class Compiler:
         else:
             width = max(1, i.hi - i.lo)
             low, high = (F.col("_ts") + i.lo, F.col("_ts") + i.hi - 1) if past else (F.col("_ts") - i.hi + 1, F.col("_ts") - i.lo)
-        spread = hits.where(low <= high).withColumn("_b", F.explode(F.sequence(bucket(low, width), bucket(high, width))))
-        return spread.join(self.t.withColumn("_b", bucket(F.col("ts"), width)), "_b").drop("_b")
+        # hits of neighbouring time-points go as one array, so the rows of a time-point come one after the other and those
+        # of the next repeat them: written by columns, they take little; and a block outside its reach meets no time-point
+        n = int(self.t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = hits.where(low <= high).select("*", low.alias("_low"), high.alias("_high")).withColumn("_b", F.explode(F.sequence(bucket(low, width), bucket(high, width))))
+        cut = spread.withColumn("_c", F.floor(F.col("_tp") / BUCKET))
+        cut = cut.withColumn("_d", F.floor((F.row_number().over(Window.partitionBy("_b", "_c").orderBy("_tp")) - 1) / BLOCK))
+        blocks = cut.groupBy("_b", "_c", "_d").agg(F.collect_list(F.struct(*hits.columns)).alias("_block"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+        # few rows become many, so their partitions are kept as they are
+        t = self.t.withColumn("_b", bucket(F.col("ts"), width)).repartition(n, "_b").sortWithinPartitions("_b", "tp")
+        met = blocks.repartition(n, "_b").hint("merge").join(t, "_b").where((F.col("ts") >= F.col("_low")) & (F.col("ts") <= F.col("_high")))
+        return met.select(*TIME, F.inline("_block"))
 
     def near(self, df: DataFrame, hits: DataFrame, i: Interval, past: bool, how: str) -> DataFrame:
         """Rows of df with a hit in the interval (or without, for left_anti)."""
@@ -341,6 +348,11 @@ class Compiler:
         negated = isinstance(f.left, Not)
         alpha, beta = self.plan(f.left.arg if negated else f.left), self.plan(f.right)
         shared, keys = variables(alpha), names(f)
+        if negated:
+            # the nearest beta that the lower bound admits decides, so each one reaches until the next takes over
+            if i.lo:
+                beta = beta.groupBy(*keys, "ts").agg((F.max if past else F.min)("tp").alias("tp"))
+            beta = neighbour(beta, keys, "ts" if i.lo else "tp", past)
         beta = beta.withColumnRenamed("tp", "_tp").withColumnRenamed("ts", "_ts")
         if negated:
             # the nearest alpha beyond beta ends its reach; alphas beyond the interval don't matter
@@ -366,6 +378,7 @@ class Compiler:
             beta = both.withColumn("_k", near).where("_beta").drop("_beta", "_b")
             reach = self.reach(beta, i, past)
             inside = F.col("_k").isNull() | ((F.col("tp") < F.col("_k")) if past else (F.col("tp") > F.col("_k")))
+            inside = inside & before(i, past)
         else:
             # runs of neighbouring time-points; each beta touches one run at most, the last that begins before it (the
             # first that ends after it). Both are cut into buckets of time-points, so a key's rows go to many tasks.
@@ -387,9 +400,9 @@ class Compiler:
         sign = 1 if past else -1
         ordered = (F.col("tp") >= F.col("_tp")) if past else (F.col("tp") <= F.col("_tp"))
         out = reach.where(within((F.col("ts") - F.col("_ts")) * sign, i) & ordered & inside).select(*TIME, *keys)
-        if not negated and i.lo == 0:
-            out = out.unionByName(self.plan(f.right))
-        return out.distinct()
+        if negated:
+            return out
+        return (out if i.lo else out.unionByName(self.plan(f.right))).distinct()
 
     _until = _since
 
@@ -495,6 +508,15 @@ def bucket(ts: Column, width: int) -> Column:
     return F.floor(ts / F.lit(width)).cast("long")
 
 
+def before(i: Interval, past: bool) -> Column:
+    """Whether a time-point comes before the one from which the next hit (_n: its tp, or ts under a lower bound) takes over."""
+    if i.lo == 0:
+        later = (F.col("tp") < F.col("_n")) if past else (F.col("tp") > F.col("_n"))
+    else:
+        later = (F.col("ts") < F.col("_n") + i.lo) if past else (F.col("ts") > F.col("_n") - i.lo)
+    return F.col("_n").isNull() | later
+
+
 def within(diff: Column, i: Interval) -> Column:
     return reduce(lambda a, b: a & b, [diff >= i.lo] + ([diff < i.hi] if i.hi is not None else []))
 
