@@ -86,7 +86,7 @@ def test_guarded_since_and_until_meet_no_other_time_point(spark, formula):
     assert not joined(out)
 
 
-@pytest.mark.parametrize("formula", ["ONCE [0,6) Q(x)", "EVENTUALLY [1,6) Q(x)", "(NOT P(x)) SINCE [0,6) Q(x)", "(NOT P(x)) UNTIL [0,6) Q(x)", "(NOT P(x)) SINCE [2,*) Q(x)", "(NOT P(x)) UNTIL [3,8) Q(x)"])
+@pytest.mark.parametrize("formula", ["ONCE [0,6) Q(x)", "ONCE [2,6) Q(x)", "EVENTUALLY [1,6) Q(x)", "(NOT P(x)) SINCE [0,6) Q(x)", "(NOT P(x)) UNTIL [0,6) Q(x)", "(NOT P(x)) SINCE [2,*) Q(x)", "(NOT P(x)) UNTIL [3,8) Q(x)"])
 def test_rows_of_a_time_point_come_together(spark, monkeypatch, formula):
     """Rows aren't exchanged once made, none comes up twice, and those of one time-point and block follow each other."""
     monkeypatch.setattr(plans, "BLOCK", 4)
