@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from tests.llm.test_operators import SCHEMA
@@ -153,3 +154,19 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_saved_tables_go_through_small_batches(spark):
+    """A worker that makes a saved table holds at most BATCH_ROWS rows at a time; the session's setting stays."""
+    from tracelogic.llm import common
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    got = [r["n"] for r in common.Scratch(spark).save(spark.range(0, 5500, 1, 1).mapInArrow(sizes, "n long")).collect()]
+    assert sum(got) == 5500 and max(got) == common.BATCH_ROWS
+    assert spark.conf.get(name) == before

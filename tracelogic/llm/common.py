@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 
 
+#: Rows that a Python worker of a saved table gets at a time; the worker and the JVM each hold a few such batches.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS rows at most, as long as this lasts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    if 0 < before <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Parquet tables in the shared folder that ``spark.checkpoint.dir`` names.
 
@@ -36,7 +56,8 @@ class Scratch:
         """Write df and return the table read back."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
