@@ -101,3 +101,19 @@ def test_rows_of_a_time_point_come_together(spark, monkeypatch, formula):
     assert "Generate inline" in top and "Aggregate" not in top
     turns = sum(a[0] != b[0] for a, b in zip(rows, rows[1:]))
     assert turns < 0.7 * len(rows)
+
+
+@pytest.mark.parametrize("formula", ["ONCE [0,6) Q(x)"])
+def test_hits_are_made_once(spark, formula):
+    """Each hit's successor is looked for in one exchange of the hits, so what makes them runs once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(300).selectExpr("id as tp", "id as ts", "id % 5 as x0")
+    hits = rows.where("tp % 3 = 0").mapInArrow(counted, "tp long, ts long, x0 long")
+    Monitor(formula).run({"P": rows.where("tp % 40 = 1"), "Q": hits}, rows.select("tp", "ts")).collect()
+    assert made.value == 100

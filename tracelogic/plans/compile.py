@@ -461,9 +461,11 @@ def neighbour(df: DataFrame, keys: list[str], column: str, after: bool) -> DataF
     Rows are sorted in buckets of the column; where a bucket has no further value, the first (last) value of the next
     bucket that has any is taken, from a table with one row for each key and bucket.
     """
-    cut = df.withColumn("_nb", F.floor(F.col(column) / BUCKET).cast("long"))
+    # both readers take all columns of one exchange, so the rows are made and moved once
+    cut = df.withColumn("_nb", F.floor(F.col(column) / BUCKET).cast("long")).repartition(*keys, "_nb")
     inner = Window.partitionBy(*keys, "_nb").orderBy(column)
-    ends = cut.groupBy(*keys, "_nb").agg((F.min if after else F.max)(column).alias("_nv"))
+    whole = F.struct(column, *[c for c in df.columns if c != column and c not in keys])
+    ends = cut.groupBy(*keys, "_nb").agg((F.min if after else F.max)(whole)[column].alias("_nv"))
     # keyed: a key's buckets; else all buckets, again in two steps
     if keys:
         order = Window.partitionBy(*keys).orderBy("_nb")
@@ -475,7 +477,8 @@ def neighbour(df: DataFrame, keys: list[str], column: str, after: bool) -> DataF
         order = Window.partitionBy("_nc").orderBy("_nb")
         ends = wide.withColumn("_nf", (F.lead if after else F.lag)("_nv").over(order)).join(tops, "_nc").withColumn("_nf", F.coalesce("_nf", "_nt")).drop("_nc", "_nt")
     ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_nb").alias("_kb"), "_nf")
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_nb") == F.col("_kb"))
+    # with a plain equality one of the readers would get a filter against nulls, and an exchange of its own
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_nb").eqNullSafe(F.col("_kb")))
     found = cut.withColumn("_n", (F.lead if after else F.lag)(column).over(inner)).join(ends, same)
     return found.withColumn("_n", F.coalesce("_n", "_nf")).select(*df.columns, "_n")
 
