@@ -103,7 +103,7 @@ def test_rows_of_a_time_point_come_together(spark, monkeypatch, formula):
     assert turns < 0.7 * len(rows)
 
 
-@pytest.mark.parametrize("formula", ["ONCE [0,6) Q(x)", "EVENTUALLY [1,6) Q(x)", "ONCE [2,6) Q(x)"])
+@pytest.mark.parametrize("formula", ["ONCE [0,6) Q(x)", "EVENTUALLY [1,6) Q(x)", "ONCE [2,6) Q(x)", "(NOT P(x)) UNTIL [0,6) Q(x)"])
 def test_hits_are_made_once(spark, formula):
     """Each hit's successor is looked for in one exchange of the hits, so what makes them runs once."""
     made = spark.sparkContext.accumulator(0)
