@@ -4,6 +4,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.brute import verdicts
 from tracelogic.formula.rewrite import read
@@ -117,3 +118,13 @@ def test_hits_are_made_once(spark, formula):
     hits = rows.where("tp % 3 = 0").mapInArrow(counted, "tp long, ts long, x0 long")
     Monitor(formula).run({"P": rows.where("tp % 40 = 1"), "Q": hits}, rows.select("tp", "ts")).collect()
     assert made.value == 100
+
+
+@pytest.mark.parametrize("formula", ["EVENTUALLY [1,6) Q(x)"])
+def test_no_task_makes_rows_of_many_time_points(spark, monkeypatch, formula):
+    """However few the shuffle partitions, the rows are made in tasks (and files) of few time-points."""
+    monkeypatch.setattr(plans, "DEALT", 20)
+    rows = spark.range(600).selectExpr("id as tp", "id as ts", "id % 5 as x0")
+    out = Monitor(formula).run({"P": rows.where("tp % 40 = 1"), "Q": rows.where("tp % 3 = 0")}, rows.select("tp", "ts"))
+    seen = [r[0] for r in out.groupBy(F.spark_partition_id()).agg(F.countDistinct("tp")).select("count(DISTINCT tp)").collect()]
+    assert out.rdd.getNumPartitions() == 30 and max(seen) < 100

@@ -21,6 +21,8 @@ TIME = ["tp", "ts"]
 BUCKET = 1 << 16
 #: Hits that meet the time-points together.
 BLOCK = 64
+#: Time-points that a task meets on average. Parquet's dictionaries hold 131072 longs; a file with more takes much more space.
+DEALT = 1 << 14
 
 
 def variables(df: DataFrame) -> list[str]:
@@ -72,6 +74,7 @@ class Compiler:
         self.relations, self.t, self.parts = relations, timepoints.select(*TIME), parts
         self.plans: dict[Formula, DataFrame] = {}
         self._ends: tuple[int, int] | None = None
+        self._tasks: int | None = None
         #: Least width of the time buckets in which a key's rows are sorted.
         self.width = 1
 
@@ -82,6 +85,12 @@ class Compiler:
             self._ends = (r[0] or 0, r[1] or 0)
         return self._ends
 
+    def tasks(self) -> int:
+        """Partitions for rows that meet the time-points."""
+        if self._tasks is None:
+            self._tasks = max(int(self.t.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-self.t.count() // DEALT))
+        return self._tasks
+
     def last_bucket(self) -> int:
         """Bucket of the last time-point."""
         return (self.t.agg(F.max("tp")).first()[0] or 0) // BUCKET
@@ -249,14 +258,14 @@ class Compiler:
             low, high = (F.col("_ts") + i.lo, F.col("_ts") + i.hi - 1) if past else (F.col("_ts") - i.hi + 1, F.col("_ts") - i.lo)
         # hits of neighbouring time-points go as one array, so the rows of a time-point come one after the other and those
         # of the next repeat them: written by columns, they take little; and a block outside its reach meets no time-point
-        n = int(self.t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        spread = hits.where(low <= high).select("*", low.alias("_low"), high.alias("_high")).withColumn("_b", F.explode(F.sequence(bucket(low, width), bucket(high, width))))
+        # few rows become many, so their partitions are kept as they are, and grow in number with the time-points
+        n = self.tasks()
+        spread = hits.where(low <= high).select("*", low.alias("_low"), high.alias("_high")).withColumn("_b", F.explode(F.sequence(bucket(low, width), bucket(high, width)))).repartition(n, "_b")
         cut = spread.withColumn("_c", F.floor(F.col("_tp") / BUCKET))
         cut = cut.withColumn("_d", F.floor((F.row_number().over(Window.partitionBy("_b", "_c").orderBy("_tp")) - 1) / BLOCK))
         blocks = cut.groupBy("_b", "_c", "_d").agg(F.collect_list(F.struct(*hits.columns)).alias("_block"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
-        # few rows become many, so their partitions are kept as they are
         t = self.t.withColumn("_b", bucket(F.col("ts"), width)).repartition(n, "_b").sortWithinPartitions("_b", "tp")
-        met = blocks.repartition(n, "_b").hint("merge").join(t, "_b").where((F.col("ts") >= F.col("_low")) & (F.col("ts") <= F.col("_high")))
+        met = blocks.hint("merge").join(t, "_b").where((F.col("ts") >= F.col("_low")) & (F.col("ts") <= F.col("_high")))
         return met.select(*TIME, F.inline("_block"))
 
     def near(self, df: DataFrame, hits: DataFrame, i: Interval, past: bool, how: str) -> DataFrame:

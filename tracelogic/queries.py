@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .formula.ast import Pred, Temporal
+from .formula.ast import Eventually, Once, Pred, Since, Temporal, Until
 from .formula.rewrite import read
 from .functions import statistics as st
 from .monitor import Monitor, number
@@ -161,7 +161,11 @@ def formula_query(name: str):
 
     def run(spark, sf_dir: str) -> DataFrame:
         monitor = Monitor(formula, **options)
-        return monitor.run(*(events_trace if kind == E else orders_trace)(spark, sf_dir, sum(isinstance(x, (Pred, Temporal)) for x in monitor.formula.walk())))
+        mentions = sum(isinstance(x, (Pred, Temporal)) for x in monitor.formula.walk())
+        if isinstance(monitor.formula, (Once, Eventually, Since, Until)):
+            # without a guard the time-points are counted and met, too
+            mentions += 2
+        return monitor.run(*(events_trace if kind == E else orders_trace)(spark, sf_dir, mentions))
 
     return run
 
