@@ -120,7 +120,7 @@ def test_hits_are_made_once(spark, formula):
     assert made.value == 100
 
 
-@pytest.mark.parametrize("formula", ["EVENTUALLY [1,6) Q(x)", "ONCE [2,6) Q(x)"])
+@pytest.mark.parametrize("formula", ["EVENTUALLY [1,6) Q(x)", "ONCE [2,6) Q(x)", "(NOT P(x)) UNTIL [0,6) Q(x)"])
 def test_no_task_makes_rows_of_many_time_points(spark, monkeypatch, formula):
     """However few the shuffle partitions, the rows are made in tasks (and files) of few time-points."""
     monkeypatch.setattr(plans, "DEALT", 20)
