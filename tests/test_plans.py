@@ -128,3 +128,30 @@ def test_no_task_makes_rows_of_many_time_points(spark, monkeypatch, formula):
     out = Monitor(formula).run({"P": rows.where("tp % 40 = 1"), "Q": rows.where("tp % 3 = 0")}, rows.select("tp", "ts"))
     seen = [r[0] for r in out.groupBy(F.spark_partition_id()).agg(F.countDistinct("tp")).select("count(DISTINCT tp)").collect()]
     assert out.rdd.getNumPartitions() == 30 and max(seen) < 100
+
+
+NEXT = ["ONCE [0,6) Q(x)", "ONCE [2,6) Q(x)", "EVENTUALLY [1,6) Q(x)", "EVENTUALLY [0,5) (EXISTS x. Q(x))", "(NOT P(x)) UNTIL [0,6) Q(x)", "(NOT P(x)) SINCE [2,7) Q(x)", "(NOT (EXISTS x. P(x))) UNTIL [1,6) Q(y)"]
+
+
+@pytest.mark.parametrize("formula", NEXT)
+def test_next_hits_across_buckets(spark, monkeypatch, formula):
+    """A next hit or an alpha in another bucket is seen, where buckets are as narrow as the interval; repeated facts count once."""
+    monkeypatch.setattr(plans, "SPAN", 1)
+    r = random.Random(formula)
+    tps = sorted(r.randint(0, 40) for _ in range(44))
+    facts = [{("Q", (x,)) for x in range(3) if r.random() < 0.3} | {("P", (x,)) for x in range(3) if r.random() < 0.1} for _ in tps]
+    relations = {k: spark.createDataFrame([(i, tps[i], *a) for i, day in enumerate(facts) for name, a in day if name == k for _ in range(1 + a[0] % 2)], "tp long, ts long, x0 long") for k in "PQ"}
+    rows = [tuple(x) for x in Monitor(formula).run(relations, spark.createDataFrame(list(enumerate(tps)), "tp long, ts long")).collect()]
+    assert len(rows) == len(set(rows)) and {(x[0], *x[2:]) for x in rows} == verdicts(read(formula), tps, facts)
+
+
+def exchanges(spark, formula):
+    """Exchanges in the plan of a formula over relations that are dealt out already by time alone."""
+    rows = spark.range(600).selectExpr("id as tp", "id as ts", "id % 5 as x0")
+    out = Monitor(formula).run({"P": rows.where("tp % 40 = 1"), "Q": rows.where("tp % 3 = 0")}, rows.select("tp", "ts"))
+    return out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_until_moves_both_sides_once_before_the_time_points(spark):
+    """Both for the next beta and alpha, the betas to the time-points, which are moved too."""
+    assert exchanges(spark, "(NOT P(x)) UNTIL [0,6) Q(x)") <= 3

@@ -23,6 +23,8 @@ BUCKET = 1 << 16
 BLOCK = 64
 #: Time-points that a task meets on average. Parquet's dictionaries hold 131072 longs; a file with more takes much more space.
 DEALT = 1 << 14
+#: Intervals that are sorted in one task for a key; rows near a border also stand in the bucket beyond it.
+SPAN = 16
 
 
 def variables(df: DataFrame) -> list[str]:
@@ -109,6 +111,13 @@ class Compiler:
         return self.t if f.value else self.t.where(F.lit(False))
 
     def _pred(self, f: Pred) -> DataFrame:
+        return self.facts(f).distinct()
+
+    def repeated(self, f: Formula) -> DataFrame:
+        """As plan, but rows may come up more than once; for what needs no distinct rows."""
+        return self.facts(f) if isinstance(f, Pred) else self.plan(f)
+
+    def facts(self, f: Pred) -> DataFrame:
         if f.relation not in self.relations:
             raise FormulaError(f"unknown relation {f.relation}")
         df = self.relations[f.relation]
@@ -122,7 +131,7 @@ class Compiler:
                 df = df.where(F.col(f"x{i}") == F.col(seen[a.name]))
             else:
                 seen[a.name] = f"x{i}"
-        return df.select(*TIME, *[F.col(c).alias(f"v_{v}") for v, c in seen.items()]).distinct()
+        return df.select(*TIME, *[F.col(c).alias(f"v_{v}") for v, c in seen.items()])
 
     def _compare(self, f: Compare) -> DataFrame:
         if not free_variables(f):
@@ -228,15 +237,13 @@ class Compiler:
     def _once(self, f: Once | Eventually) -> DataFrame:
         """Unguarded: each hit reaches until the next hit takes over, so no time-point comes up twice."""
         past, i = isinstance(f, Once), f.interval
-        hits, keys = self.plan(f.arg), names(f)
+        # of equal hits all but one are followed at once
+        hits, keys = self.repeated(f.arg), names(f)
         if i.hi is None:
             pick = F.min(F.struct("tp", "ts")) if past else F.max(F.struct("tp", "ts"))
             hits = hits.groupBy(*keys).agg(pick.alias("_x")).where("_x is not null").select(*keys, "_x.tp", "_x.ts").withColumn("_n", F.lit(None).cast("long"))
-        elif i.lo == 0:
-            hits = neighbour(hits, keys, "tp", past)
         else:
-            one = hits.groupBy(*keys, "ts").agg(F.min("tp").alias("tp"))
-            hits = neighbour(one, keys, "ts", past)
+            hits = follower(hits, keys, i, past)
         hits = hits.withColumnRenamed("tp", "_tp").withColumnRenamed("ts", "_ts")
         out = self.reach(hits, i, past)
         sign = 1 if past else -1
@@ -260,7 +267,7 @@ class Compiler:
         # of the next repeat them: written by columns, they take little; and a block outside its reach meets no time-point
         # few rows become many, so their partitions are kept as they are, and grow in number with the time-points
         n = self.tasks()
-        spread = hits.where(low <= high).select("*", low.alias("_low"), high.alias("_high")).withColumn("_b", F.explode(F.sequence(bucket(low, width), bucket(high, width)))).repartition(n, "_b")
+        spread = hits.where(low <= high).withColumn("_b", F.explode(F.sequence(bucket(low, width), bucket(high, width)))).repartition(n, "_b").select("*", low.alias("_low"), high.alias("_high"))
         cut = spread.withColumn("_c", F.floor(F.col("_tp") / BUCKET))
         cut = cut.withColumn("_d", F.floor((F.row_number().over(Window.partitionBy("_b", "_c").orderBy("_tp")) - 1) / BLOCK))
         blocks = cut.groupBy("_b", "_c", "_d").agg(F.collect_list(F.struct(*hits.columns)).alias("_block"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
@@ -355,23 +362,26 @@ class Compiler:
         if f.left == Truth(True):
             return self.plan((Once if past else Eventually)(i, f.right))
         negated = isinstance(f.left, Not)
-        alpha, beta = self.plan(f.left.arg if negated else f.left), self.plan(f.right)
+        # where the next beta takes over, of equal ones all but one are followed at once
+        alpha, beta = (self.repeated(f.left.arg), self.repeated(f.right)) if negated else (self.plan(f.left), self.plan(f.right))
         shared, keys = variables(alpha), names(f)
         if negated:
             # the nearest beta that the lower bound admits decides, so each one reaches until the next takes over
             if i.lo:
                 beta = beta.groupBy(*keys, "ts").agg((F.max if past else F.min)("tp").alias("tp"))
-            beta = neighbour(beta, keys, "ts" if i.lo else "tp", past)
+            if i.hi is None:
+                beta = neighbour(beta, keys, "ts" if i.lo else "tp", past)
         beta = beta.withColumnRenamed("tp", "_tp").withColumnRenamed("ts", "_ts")
         if negated:
             # the nearest alpha beyond beta ends its reach; alphas beyond the interval don't matter
             marks = alpha.withColumnRenamed("tp", "_tp").withColumnRenamed("ts", "_ts").withColumn("_beta", F.lit(False))
             beta = beta.withColumn("_beta", F.lit(True))
             if i.hi is not None:
-                width = max(self.width, i.hi)
-                at = bucket(F.col("_ts"), width)
-                marks = marks.withColumn("_b", F.explode(F.array(at, at - 1 if past else at + 1)))
-                beta = beta.withColumn("_b", at)
+                # betas and alphas beyond the interval don't matter, so one exchange serves both
+                width = max(self.width, i.hi * (SPAN if shared else 1))
+                both = copied(beta.unionByName(marks, allowMissingColumns=True), "_ts", i, past, width).repartition(*shared, "_b")
+                both = both.withColumn("_n", (F.lead if past else F.lag)("_ts" if i.lo else "_tp").over(Window.partitionBy(*keys, "_b", "_beta").orderBy("_tp")))
+                own = F.col("_b") == bucket(F.col("_ts"), width)
             else:
                 # without an end the first (last) alpha of each bucket serves all buckets before (after) it
                 cut = F.floor(F.col("_tp") / BUCKET).cast("long")
@@ -381,13 +391,16 @@ class Compiler:
                 low, high = (F.coalesce("_from", F.lit(0)), F.col("_b")) if past else (F.col("_b"), F.coalesce("_from", F.lit(self.last_bucket())))
                 far = ends.select(*shared, F.col("_e").alias("_tp"), F.explode(F.sequence(low, high)).alias("_c"), "_b").where("_c <> _b").select(*shared, "_tp", F.col("_c").alias("_b")).withColumn("_beta", F.lit(False))
                 marks = marks.drop("_ts").unionByName(far)
-            both = beta.unionByName(marks, allowMissingColumns=True)
+                both, own = beta.unionByName(marks, allowMissingColumns=True), F.lit(True)
             frame = Window.partitionBy(*shared, "_b").orderBy(F.desc("_tp") if past else "_tp").rangeBetween(Window.unboundedPreceding, -1)
             near = (F.min if past else F.max)(F.when(~F.col("_beta"), F.col("_tp"))).over(frame)
-            beta = both.withColumn("_k", near).where("_beta").drop("_beta", "_b")
+            beta = both.withColumn("_k", near).where("_beta").where(own).drop("_beta", "_b")
+            if i.lo == 0:
+                beta = beta.withColumn("_n", (F.least if past else F.greatest)("_n", "_k")).drop("_k")
             reach = self.reach(beta, i, past)
-            inside = F.col("_k").isNull() | ((F.col("tp") < F.col("_k")) if past else (F.col("tp") > F.col("_k")))
-            inside = inside & before(i, past)
+            inside = before(i, past)
+            if i.lo:
+                inside = inside & (F.col("_k").isNull() | ((F.col("tp") < F.col("_k")) if past else (F.col("tp") > F.col("_k"))))
         else:
             # runs of neighbouring time-points; each beta touches one run at most, the last that begins before it (the
             # first that ends after it). Both are cut into buckets of time-points, so a key's rows go to many tasks.
@@ -492,6 +505,25 @@ def neighbour(df: DataFrame, keys: list[str], column: str, after: bool) -> DataF
     return found.withColumn("_n", F.coalesce("_n", "_nf")).select(*df.columns, "_n")
 
 
+def copied(df: DataFrame, ts: str, i: Interval, past: bool, width: int) -> DataFrame:
+    """df with the time buckets _b in which rows find it as a next one less than the interval's end away; the first (last) is its own."""
+    at = F.col(ts)
+    return df.withColumn("_b", F.explode(F.sequence(*[bucket(x, width) for x in ((at - i.hi + 1, at) if past else (at, at + i.hi - 1))])))
+
+
+def follower(hits: DataFrame, keys: list[str], i: Interval, past: bool) -> DataFrame:
+    """Hits with _n, the tp (ts under a lower bound) of the next hit of equal keys, or null if that is beyond the interval.
+
+    In one exchange. Under a lower bound the first of each time-stamp stands for all.
+    """
+    width = i.hi * (SPAN if keys else 1)
+    near = copied(hits, "ts", i, past, width).repartition(*keys, "_b")
+    if i.lo:
+        near = near.groupBy(*keys, "_b", "ts").agg(F.min("tp").alias("tp"))
+    found = near.withColumn("_n", (F.lead if past else F.lag)("ts" if i.lo else "tp").over(Window.partitionBy(*keys, "_b").orderBy("tp")))
+    return found.where(F.col("_b") == bucket(F.col("ts"), width)).select(*hits.columns, "_n")
+
+
 def joined_runs(pieces: DataFrame, shared: list[str]) -> DataFrame:
     """Runs from their pieces in buckets (shared, _b, _s, _e): a piece that ends where the next begins goes on in it.
 
