@@ -1,6 +1,7 @@
 """Plans at small bucket sizes, long keys, and what plans must not hold."""
 
 import random
+import re
 import time
 from pathlib import Path
 
@@ -159,6 +160,22 @@ def test_once_with_a_lower_bound_moves_its_hits_twice(spark):
     assert exchanges(spark, "ONCE [2,6) Q(x)") <= 3
 
 
+@pytest.mark.parametrize("formula", ["ONCE [2,6) Q(x)", "EVENTUALLY [1,6) Q(x)", "(NOT P(x)) UNTIL [0,6) Q(x)"])
+def test_blocks_are_inlined_apart_from_the_join(spark, formula):
+    """In one compiled stage all rows that a block makes would be held before the first goes on."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(600).selectExpr("id as tp", "id as ts", "id % 5 as x0")
+        out = Monitor(formula).run({"P": rows.where("tp % 40 = 1"), "Q": rows.where("tp % 3 = 0")}, rows.select("tp", "ts"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        parts = out.rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    stages = lambda operator: set(re.findall(rf"\*\((\d+)\) {operator}", plan))
+    assert stages("Generate inline") and stages("SortMergeJoin") and not stages("Generate inline") & stages("SortMergeJoin")
+    assert parts >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_until_moves_both_sides_once_before_the_time_points(spark):
     """Both for the next beta and alpha, the betas to the time-points, which are moved too."""
     assert exchanges(spark, "(NOT P(x)) UNTIL [0,6) Q(x)") <= 3

@@ -273,7 +273,9 @@ class Compiler:
         blocks = cut.groupBy("_b", "_c", "_d").agg(F.collect_list(F.struct(*hits.columns)).alias("_block"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
         t = self.t.withColumn("_b", bucket(F.col("ts"), width)).repartition(n, "_b").sortWithinPartitions("_b", "tp")
         met = blocks.hint("merge").join(t, "_b").where((F.col("ts") >= F.col("_low")) & (F.col("ts") <= F.col("_high")))
-        return met.select(*TIME, F.inline("_block"))
+        # compiled into one loop with the join, all rows that a block makes would be held at once; this parts the two and moves
+        # no rows, as there are never so many partitions
+        return met.select("_block", *TIME).coalesce(1 << 20).select(*TIME, F.inline("_block"))
 
     def near(self, df: DataFrame, hits: DataFrame, i: Interval, past: bool, how: str) -> DataFrame:
         """Rows of df with a hit in the interval (or without, for left_anti)."""
